@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import benchmark_matches
+from .line_dedup import line_deduped
+from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
 
@@ -71,5 +73,42 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
+#: Whole parts of the mixture by source; other sources have one part each.
+MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, block=8)
+
+
+OP3_SQL = """
+WITH RECURSIVE parts AS (
+  SELECT s, row_number() OVER (ORDER BY s) AS i, CASE s WHEN 'src0' THEN 4 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END AS parts
+  FROM (SELECT DISTINCT coalesce(source, '') AS s FROM documents)
+), total AS (SELECT CAST(sum(parts) AS BIGINT) AS q FROM parts
+), plan AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS pick, list({'i': i, 'parts': CAST(parts AS BIGINT), 'k': CAST(1 AS BIGINT)} ORDER BY i) AS st FROM parts
+  UNION ALL
+  SELECT slot + 1, best, list_transform(st, lambda x: {'i': x.i, 'parts': x.parts, 'k': x.k + CASE WHEN x.i = best THEN 1 ELSE 0 END})
+  FROM (SELECT slot, st, list_min(list_transform(list_filter(st, lambda x: ((x.k - 1) * q) // x.parts <= slot + 1), lambda x: [(x.k * q + x.parts - 1) // x.parts, x.i]))[2] AS best
+        FROM plan, total WHERE slot + 1 < q)
+), turns AS (SELECT pick, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM plan WHERE slot >= 0
+), ranked AS (
+  SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents
+)
+SELECT doc_id, source, CAST((r // 8 // parts) * q + slot AS BIGINT) AS mix_slot, CAST(r % 8 AS INTEGER) AS mix_offset
+FROM ranked JOIN parts USING (s) JOIN turns ON pick = i AND turn = (r // 8) % parts CROSS JOIN total
+"""
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document: lines removed with their chunks, characters, and the text's digest."""
+    kept = line_deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", F.size("_removed").cast("long").alias("n_removed_chunks"), F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
