@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import benchmark_matches
+from .embedding_dedup import embedding_duplicates
+from .html_text import extracted
 from .line_dedup import line_deduped
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
+from .url_filter import judged
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +43,39 @@ FROM sets JOIN reached USING (doc_id) GROUP BY ALL
 """
 
 
+#: Given rules: verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are unwanted where the label with their number says low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("unwanted"))
+    return judged(table(spark, sf_dir, "pages"), labels, URL_RULES).drop("url")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reached LEFT JOIN counts USING (vec_id) GROUP BY vec_id
+"""
+
+
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs.select("doc_id", "text"), fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -110,5 +146,5 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op6_url_filter": op6_url_filter, "op7_html_text": op7_html_text, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
+ORACLES = {"op8_embedding_dedup": OP8_SQL, "op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
