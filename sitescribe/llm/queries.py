@@ -12,9 +12,11 @@ from .decontaminate import benchmark_matches
 from .embedding_dedup import embedding_duplicates
 from .html_text import extracted
 from .line_dedup import line_deduped
+from .lm_scoring import cross_entropy_difference, fit_models
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
+from .secret_scan import labelled_findings, scanned, train_forest, word_trigrams
 from .url_filter import judged
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,6 +111,13 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that are labelled good and not toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    models = fit_models(docs, labels.where("quality = 1 and toxic = 0").select("doc_id"))
+    return cross_entropy_difference(docs.select("doc_id", "text"), models).select("doc_id", "_lm.*")
+
+
 #: Whole parts of the mixture by source; other sources have one part each.
 MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 2}
 
@@ -137,6 +146,12 @@ FROM ranked JOIN parts USING (s) JOIN turns ON pick = i AND turn = (r // 8) % pa
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionary = word_trigrams(docs)
+    return scanned(docs, train_forest(spark, labelled_findings(), dictionary), dictionary)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document: lines removed with their chunks, characters, and the text's digest."""
     kept = line_deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -146,5 +161,5 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op6_url_filter": op6_url_filter, "op7_html_text": op7_html_text, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_url_filter": op6_url_filter, "op7_html_text": op7_html_text, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op8_embedding_dedup": OP8_SQL, "op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
