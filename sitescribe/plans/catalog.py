@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import page_queries, text_queries
+from .page_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "page_queries", "text_queries"]
