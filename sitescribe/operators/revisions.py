@@ -43,7 +43,7 @@ def with_previous(runs: DataFrame) -> DataFrame:
 def history(runs: DataFrame) -> DataFrame:
     """Succeeded runs numbered from 1 and their change since the run before."""
     done = runs.where("status = 'succeeded'")
-    return done.withColumn("run_no", F.row_number().over(OLDEST)).withColumn("delta", F.round(F.col("score") - F.lag("score").over(OLDEST), 1))
+    return done.withColumn("run_no", F.row_number().over(OLDEST)).withColumn("delta", F.round(F.col("score") - F.lag("score").over(OLDEST), 1) + 0.0)  # no negative zero
 
 
 def latest_against_second(runs: DataFrame) -> DataFrame:
