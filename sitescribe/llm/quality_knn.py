@@ -49,8 +49,13 @@ class Voters:
         seen = (bags[:, :BUCKETS] > 0).sum(axis=0)
         self.weights = np.maximum(np.log((len(bags) + 1) / (seen + 1)), 0.1).astype(np.float32)
         weighted = self._weighted(bags)
-        _, directions = np.linalg.eigh(weighted.T @ weighted)
-        self.directions = np.ascontiguousarray(directions[:, -DIRECTIONS:]).astype(np.float32)
+        # Leading right singular vectors by subspace iteration; no matrix of buckets by buckets is made.
+        basis = np.random.default_rng(11).standard_normal((weighted.shape[1], DIRECTIONS + 16)).astype(np.float32)
+        for _ in range(8):
+            basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
+        inner = weighted @ basis
+        _, turn = np.linalg.eigh(inner.T @ inner)
+        self.directions = np.ascontiguousarray(basis @ turn[:, -DIRECTIONS:])
         self.vectors = self._unit(weighted @ self.directions)
         self.labels = labels.astype(np.float32)
 
@@ -86,13 +91,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.where("_label = 0").orderBy(*order).limit(per_class).unionAll(usable.where("_label = 1").orderBy(*order).limit(per_class))
     # No more than 2 * per_class rows of two numbers: this bound is why the sample may be broadcast.
-    bags = F.pandas_udf(lambda texts: pd.Series([terms(t) for t in texts]), "array<float>")
+    bags = F.pandas_udf(lambda texts: pd.Series([terms(t).astype(np.float16).tobytes() for t in texts]), "binary")
     small_batches(docs.sparkSession, 500)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", bags("text").alias("bag")).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    if not len(rows):
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", bags("text").alias("bag")).collect()
+    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    if not rows:
         raise ValueError("no labelled row to learn from")
-    return Voters(np.stack(rows["bag"].to_numpy()), rows["_label"].to_numpy())
+    texts = np.stack([np.frombuffer(r["bag"], dtype=np.float16) for r in rows]).astype(np.float32)
+    return Voters(texts, np.array([r["_label"] for r in rows]))
 
 
 def quality_scores(docs: DataFrame, voters: Voters) -> DataFrame:
