@@ -37,7 +37,7 @@ def with_previous(runs: DataFrame) -> DataFrame:
     before = Window.partitionBy("series").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
     previous = F.max(F.struct("created_at", "run_id", "score")).over(before)
     out = runs.where("status = 'succeeded'").withColumn("_p", previous)
-    return out.withColumn("previous_id", F.col("_p.run_id")).withColumn("delta", F.round(F.col("score") - F.col("_p.score"), 1)).drop("_p")
+    return out.withColumn("previous_id", F.col("_p.run_id")).withColumn("delta", F.round(F.col("score") - F.col("_p.score"), 1) + 0.0).drop("_p")
 
 
 def history(runs: DataFrame) -> DataFrame:

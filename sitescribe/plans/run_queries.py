@@ -24,11 +24,12 @@ def latest_revision(spark, sf_dir):
     return revisions.latest(runs(spark, sf_dir)).select("run_id", "series", "status")
 
 
-@query(f"""SELECT run_id, previous_id, round(score - previous_score, 1) AS delta FROM (
+@query(f"""SELECT run_id, coalesce(previous_id, -1) AS previous_id, round(score - previous_score, 1) + 0.0 AS delta FROM (
   SELECT a.run_id, a.score, p.run_id AS previous_id, p.score AS previous_score, row_number() OVER (PARTITION BY a.run_id ORDER BY p.created_at DESC, p.run_id DESC) AS n
   FROM ({DONE}) a LEFT JOIN ({DONE}) p ON a.series = p.series AND CAST(p.created_at AS DATE) < CAST(a.created_at AS DATE)) WHERE n = 1""")
 def previous_revision_delta(spark, sf_dir):
-    return revisions.with_previous(runs(spark, sf_dir)).select("run_id", "previous_id", "delta")
+    """-1 stands for no previous run."""
+    return revisions.with_previous(runs(spark, sf_dir)).select("run_id", F.coalesce("previous_id", F.lit(-1)).alias("previous_id"), "delta")
 
 
 @query(f"SELECT run_id, series FROM (SELECT *, {NEWEST} AS n FROM ({RUNS})) WHERE n > 6")
