@@ -10,7 +10,9 @@ THRESHOLD = 5
 # Stages by rank, and the event that reaches each.
 STAGES = {"signup": 1, "view": 2, "click": 3, "purchase": 4}
 
-ORDERED = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def in_order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def trailing_counts(events: DataFrame, seconds: int, limit: int) -> DataFrame:
@@ -40,13 +42,13 @@ def first_claims(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def stages(events: DataFrame, rank: Column) -> DataFrame:
     """The highest stage that a user has reached by each event: it never falls."""
-    return events.select("event_id", "user_id", "ts", F.max(rank).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)).alias("stage_rank"))
+    return events.select("event_id", "user_id", "ts", F.max(rank).over(in_order().rowsBetween(Window.unboundedPreceding, 0)).alias("stage_rank"))
 
 
 def segment_flips(events: DataFrame, item: Column, threshold: int = THRESHOLD) -> DataFrame:
     """The event by which each user has met ``threshold`` distinct items, exactly once a user."""
     met = first_claims(events.withColumn("_item", item), ["user_id", "_item"])
-    counted = met.withColumn("distinct_items", F.row_number().over(ORDERED))
+    counted = met.withColumn("distinct_items", F.row_number().over(in_order()))
     return counted.where(F.col("distinct_items") == threshold).select("user_id", "event_id", "ts", "distinct_items")
 
 
@@ -80,4 +82,4 @@ def kept(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:
 
 def admitted(requests: DataFrame, limit: int) -> DataFrame:
     """Whether each request still fits its user's quota, first come first served."""
-    return requests.withColumn("admitted", F.row_number().over(ORDERED) <= limit)
+    return requests.withColumn("admitted", F.row_number().over(in_order()) <= limit)

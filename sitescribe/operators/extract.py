@@ -205,10 +205,10 @@ def robots_status(files: DataFrame, bots: list[str] = BOTS) -> DataFrame:
     agents = lines.where("agent is not null").select("site", "group", "agent").distinct()
     rules = lines.groupBy("site", "group").agg(F.bool_or(F.col("rule") == "/").alias("all"), F.bool_or(F.length("rule") > 0).alias("some"))
     by_agent = agents.join(rules, ["site", "group"]).groupBy("site", "agent").agg(F.bool_or(F.coalesce("all", F.lit(False))).alias("all"), F.bool_or(F.coalesce("some", F.lit(False))).alias("some"))
-    asked = files.select("site", F.explode(F.array(*map(F.lit, bots))).alias("bot"))
+    asked = files.select("site", F.explode(F.array(*map(F.lit, bots))).alias("bot")).withColumn("_a", F.lower("bot"))
     own = by_agent.select("site", F.col("agent").alias("_a"), F.struct("all", "some").alias("own"))
     star = by_agent.where("agent = '*'").select("site", F.struct("all", "some").alias("star"))
-    out = asked.join(own, (asked["site"] == own["site"]) & (F.lower("bot") == F.col("_a")), "left").drop(own["site"]).join(star, "site", "left")
+    out = asked.join(own, ["site", "_a"], "left").join(star, "site", "left")
     used = F.coalesce("own", "star")
     return out.select("site", "bot", F.when(used["all"], "blocked").when(used["some"], "partially_restricted").otherwise("allowed").alias("status"))
 

@@ -9,23 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEWEST = Window.partitionBy("series").orderBy(F.desc("created_at"), F.desc("run_id"))
-OLDEST = Window.partitionBy("series").orderBy("created_at", "run_id")
+
+def newest_first():
+    return Window.partitionBy("series").orderBy(F.desc("created_at"), F.desc("run_id"))
+
+
+def oldest_first():
+    return Window.partitionBy("series").orderBy("created_at", "run_id")
 
 
 def latest(runs: DataFrame) -> DataFrame:
     """The newest run of each series."""
-    return runs.withColumn("_n", F.row_number().over(NEWEST)).where("_n = 1").drop("_n")
+    return runs.withColumn("_n", F.row_number().over(newest_first())).where("_n = 1").drop("_n")
 
 
 def newest(runs: DataFrame, k: int) -> DataFrame:
     """The newest k succeeded runs of each series, with their place."""
-    return runs.where("status = 'succeeded'").withColumn("place", F.row_number().over(NEWEST)).where(F.col("place") <= k)
+    return runs.where("status = 'succeeded'").withColumn("place", F.row_number().over(newest_first())).where(F.col("place") <= k)
 
 
 def beyond_newest(runs: DataFrame, keep: int) -> DataFrame:
     """Runs that a history of ``keep`` runs, besides the latest, no longer holds."""
-    return runs.withColumn("_n", F.row_number().over(NEWEST)).where(F.col("_n") > keep + 1).drop("_n")
+    return runs.withColumn("_n", F.row_number().over(newest_first())).where(F.col("_n") > keep + 1).drop("_n")
 
 
 def with_previous(runs: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def with_previous(runs: DataFrame) -> DataFrame:
 def history(runs: DataFrame) -> DataFrame:
     """Succeeded runs numbered from 1 and their change since the run before."""
     done = runs.where("status = 'succeeded'")
-    return done.withColumn("run_no", F.row_number().over(OLDEST)).withColumn("delta", F.round(F.col("score") - F.lag("score").over(OLDEST), 1) + 0.0)  # no negative zero
+    return done.withColumn("run_no", F.row_number().over(oldest_first())).withColumn("delta", F.round(F.col("score") - F.lag("score").over(oldest_first()), 1) + 0.0)  # no negative zero
 
 
 def latest_against_second(runs: DataFrame) -> DataFrame:
@@ -88,4 +93,4 @@ def at_most_one_latest(marked: DataFrame) -> DataFrame:
 def replaced(runs: DataFrame, fresh: DataFrame) -> DataFrame:
     """``runs`` and ``fresh`` with ``is_latest`` on the newest of each series: older ones retire."""
     both = runs.unionByName(fresh)
-    return both.withColumn("is_latest", F.row_number().over(NEWEST) == 1)
+    return both.withColumn("is_latest", F.row_number().over(newest_first()) == 1)

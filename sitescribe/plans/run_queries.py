@@ -148,7 +148,7 @@ SELECT coalesce(a.run, b.run) AS run, coalesce(a.finding, b.finding) AS finding,
 FROM a FULL JOIN b ON a.run = b.run AND a.finding = b.finding""")
 def findings_diff(spark, sf_dir):
     """Findings of all earlier runs of a series against those of its latest."""
-    placed = runs(spark, sf_dir).withColumn("n", F.row_number().over(revisions.NEWEST)).select(F.col("series").alias("run"), F.col("priority").alias("finding"), "n")
+    placed = runs(spark, sf_dir).withColumn("n", F.row_number().over(revisions.newest_first())).select(F.col("series").alias("run"), F.col("priority").alias("finding"), "n")
     return compare.findings_diff(placed.where("n > 1"), placed.where("n = 1"))
 
 
