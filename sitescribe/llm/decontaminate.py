@@ -173,7 +173,7 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         if text is None or not len(spans):
             return text
         raw = utf8(text)
-        places = [m.span() for m in WORD.finditer(raw)]
+        places = [m.span() for m in WORD.finditer(raw.translate(LOWER))]
         kept, at = [], 0
         for first, beyond in np.reshape(spans, (-1, 2)).tolist():
             kept.append(raw[at : places[first][0]])

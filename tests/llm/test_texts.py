@@ -67,10 +67,11 @@ def test_matches_equal_brute_force(spark, limit):
 def test_cut_out(spark):
     passage = " ".join(f"p{i}" for i in range(14))
     clean = " ".join(f"c{i}" for i in range(60))
-    docs = [clean, f"{clean} -- {passage}! {clean}", passage, f"{passage} tail", None, "", "é " * 40 + passage.upper() + " ü" * 40]
+    docs = [clean, f"{clean} -- {passage}! {clean}", passage, f"{passage} tail", None, "", "é " * 40 + passage.upper() + " ü" * 40, f"{clean} {clean} MANY CAPITALS. Here Too. {passage.title()} {clean}"]
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     out = {r.doc_id: r for r in D.decontaminated(frame(spark, docs), bench).collect()}
-    assert sorted(out) == [0, 1, 4, 5, 6]
+    assert sorted(out) == [0, 1, 4, 5, 6, 7]
+    assert out[7].text == f"{clean} {clean} MANY CAPITALS. Here Too.  {clean}"
     assert out[0].text == clean and out[1].text == f"{clean} -- ! {clean}" and out[1].n_chars == len(out[1].text)
     assert "P3" not in out[6].text and out[6].text.startswith("é ") and out[6]._lm == 1 and out[4].text is None
 
