@@ -84,10 +84,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     """Fits on up to ``per_class`` rows of either class, the first in order of a hash of ``doc_id``.
 
     Only rows that are not held out are used, and only their texts.  Rows without a label or a text
-    are passed over; of repeated rows one is used.  Raises ValueError where no labelled row is left.
+    are passed over; of repeated rows one is used, of several labels the lowest.  Raises ValueError where no labelled row is left.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("_label"))
-    usable = usable.dropDuplicates(["doc_id"])
+    usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.where("_label = 0").orderBy(*order).limit(per_class).unionAll(usable.where("_label = 1").orderBy(*order).limit(per_class))
     # No more than 2 * per_class rows of two numbers: this bound is why the sample may be broadcast.
