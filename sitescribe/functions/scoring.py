@@ -86,7 +86,7 @@ def words_band(words: Column) -> Column:
 def page_structure(m: dict[str, Column]) -> Column:
     """Points for headings, lists, tables, words, paragraphs and described images of a page."""
     point = lambda cond, n: F.when(cond, n).otherwise(0)
-    described = (m["images_total"] > 0) & (m["images_with_alt"] / m["images_total"] >= 0.8)
+    described = F.try_divide(m["images_with_alt"], m["images_total"]) >= 0.8
     return F.least(
         F.lit(100),
         point(m["h1_count"] == 1, 15) + point(m["depth"] >= 2, 15) + point(m["lists"] > 0, 10) + point(m["tables"] > 0, 10) + point(m["words"] >= 300, 15)

@@ -43,7 +43,7 @@ def counterfactual(factors: DataFrame, fixes: DataFrame) -> DataFrame:
 
     def composite(score):
         used = score.isNotNull()
-        mean = F.sum(F.when(used, score * F.col("weight"))) / F.sum(F.when(used, F.col("weight")))
+        mean = F.try_divide(F.sum(F.when(used, score * F.col("weight"))), F.sum(F.when(used, F.col("weight"))))
         return F.round(F.least(100 * F.pow(mean / 100, F.lit(1.15)), F.lit(100.0)), 1)
 
     known = F.max((F.col("factor") == F.col("fix_factor")).cast("int")).alias("known")
