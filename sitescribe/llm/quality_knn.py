@@ -80,11 +80,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Voters:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Voters | None:
     """Fits on up to ``per_class`` rows of either class, the first in order of a hash of ``doc_id``.
 
     Only rows that are not held out are used, and only their texts.  Rows without a label or a text
-    are passed over; of repeated rows one is used, of several labels the lowest.  Raises ValueError where no labelled row is left.
+    are passed over; of repeated rows one is used, of several labels the lowest.  None where no labelled row is left.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -95,17 +95,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", bags("text").alias("bag")).collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     if not rows:
-        raise ValueError("no labelled row to learn from")
+        return None
     texts = np.stack([np.frombuffer(r["bag"], dtype=np.float16) for r in rows]).astype(np.float32)
     return Voters(texts, np.array([r["_label"] for r in rows]))
 
 
-def quality_scores(docs: DataFrame, voters: Voters) -> DataFrame:
+def quality_scores(docs: DataFrame, voters: Voters | None) -> DataFrame:
     """``docs`` and a column ``_score`` from 0 to 1, higher where label 1 is likelier.
 
-    Whole texts are scored.  Null and empty texts score 0.  Equal texts score alike.  Other columns
+    Whole texts are scored.  Null and empty texts score 0; without voters all others score 1, as
+    nothing speaks against them.  Equal texts score alike.  Other columns
     are kept; a column that is named ``_score`` already is replaced.
     """
+    if voters is None:
+        return docs.withColumn("_score", F.when(F.length("text") > 0, 1.0).otherwise(0.0))
     small_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 

@@ -154,8 +154,8 @@ def test_quality_on_held_out_rows(spark):
     held = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([(rows[r.doc_id] >= 0.3) == (r.quality == 1) for r in held]) >= 0.95
     assert rows[-1] == rows[-2] == 0.0 and all(0 <= s <= 1 for s in rows.values())
-    with pytest.raises(ValueError):
-        Q.fit_quality(docs, labels.limit(0))
+    assert Q.fit_quality(docs, labels.limit(0)) is None
+    assert {r.doc_id: r._score for r in Q.quality_scores(odd, None).collect()} == {-1: 0.0, -2: 0.0, -3: 1.0}
 
 
 def test_language_models_equal_counts(spark):
