@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+from ..functions.scoring import freshness_band
+
 
 def duplicate_values(pages: DataFrame, value: str) -> DataFrame:
     """Values that two pages of a site or more share, with their number and first page."""
@@ -38,3 +41,22 @@ def first_of_page(pages: DataFrame) -> DataFrame:
     """One row a page: a start page that is given apart and among the pages counts once."""
     window = Window.partitionBy("site", "url").orderBy("page_id")
     return pages.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+
+
+def canonical_mismatches(pages: DataFrame) -> DataFrame:
+    """Pages whose canonical address, resolved, is another host or path; ``pages(page_id, url, canonical)``."""
+    canonical = F.trim(F.col("canonical"))
+    host = F.when(canonical.startswith("/"), U.domain_of(F.col("url"))).otherwise(U.domain_of(canonical))
+    path = F.when(canonical.startswith("/"), F.regexp_replace(F.regexp_replace(canonical, "[?#].*$", ""), "/+$", "")).otherwise(F.regexp_replace(U.canonical_path(canonical), "/+$", ""))
+    same = (host == U.domain_of(F.col("url"))) & (path == F.regexp_replace(U.canonical_path(F.col("url")), "/+$", ""))
+    return pages.where(F.coalesce(canonical, F.lit("")) != "").where(~same).select("page_id", "url", "canonical")
+
+
+def freshness(dated: DataFrame, as_of) -> DataFrame:
+    """Mean age in days of each site's dates, and its points; ``dated(site, url, at)``, a page once.
+
+    Days are whole; dates to come are 0 days old.
+    """
+    age = F.greatest(F.lit(0), F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("at")) / 86400))
+    out = dated.distinct().groupBy("site").agg(F.avg(age).alias("mean_days"), F.count_distinct("url").alias("pages_with_dates"))
+    return out.withColumn("score", freshness_band(F.col("mean_days")))

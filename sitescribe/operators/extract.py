@@ -7,6 +7,7 @@ One Arrow UDF reads each page once and returns a struct; what can be told from t
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
@@ -178,6 +179,39 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "item", kinds.alias("types"))
 
 
+def organisations(items: DataFrame, depth: int = 6) -> DataFrame:
+    """(page_id, name, description): objects of type Organization at any depth of the pages' JSON-LD.
+
+    One generator a level; a level holds only objects and lists that the one before contains.
+    """
+    spark = items.sparkSession
+    level = items.select("page_id", F.col("item").alias("v"))
+    found = []
+    for _ in range(depth):
+        found.append(level)
+        inner = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        level = inner.where("value is not null").select("page_id", F.col("value").alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    every = reduce(DataFrame.union, found).where(F.schema_of_variant("v").startswith("OBJECT"))
+    kind = F.coalesce(F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), ","), F.try_variant_get("v", "$['@type']", "string"))
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
+    return every.where(F.array_contains(F.split(kind, ","), "Organization")).select("page_id", text("name"), text("description"))
+
+
+def dates(items: DataFrame) -> DataFrame:
+    """(page_id, at): published, modified and created dates of JSON-LD objects; what is no date is left out."""
+    names = ("datePublished", "dateModified", "dateCreated")
+    raw = F.array(*[F.try_variant_get("item", f"$.{n}", "string") for n in names])
+    return items.select("page_id", F.explode(raw).alias("raw")).select("page_id", F.col("raw").try_cast("timestamp").alias("at")).where("at is not null")
+
+
+def sitemap_candidates(sites: DataFrame) -> DataFrame:
+    """(site, place, url): sitemaps that ``robots`` names, in order, then the usual places."""
+    lines = F.filter(F.split(F.coalesce("robots", F.lit("")), r"\r?\n"), lambda x: F.lower(F.trim(x)).startswith("sitemap:"))
+    named = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
+    usual = F.array(*[F.concat(F.lit("https://"), F.col("site"), F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml")])
+    return sites.select("site", F.posexplode(F.array_distinct(F.concat(named, usual))).alias("place", "url"))
+
+
 def faq_quality(items: DataFrame) -> DataFrame:
     """(page_id, n_questions, in_range, mean_words): answers of FAQ pages, 40 to 60 words being the best."""
     faq = items.where(F.array_contains("types", "FAQPage")).select("page_id", F.explode(F.try_variant_get("item", "$.mainEntity", "array<variant>")).alias("q"))

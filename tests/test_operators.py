@@ -166,3 +166,28 @@ def test_page_patterns(spark):
     body = H.without_scripts(F.lit(page))
     got = spark.range(1).select(*[H.count_of(body, p).alias(n) for n, p in H.TAGS.items()], H.heading_depth(body).alias("depth"), H.title_of(F.lit(page)).alias("t")).first()
     assert (got.paragraphs, got.lists, got.headings_total, got.depth, got.t) == (1, 1, 1, 2, "A")
+
+
+def test_organisations_at_any_depth(spark):
+    raw = '{"@type":"WebPage","publisher":{"@type":"Organization","name":"A"},"x":[{"y":{"@type":["Organization","Brand"],"name":"B","description":"d"}}],"z":1}'
+    items = extract.jsonld_items(spark.createDataFrame([(1, [raw]), (2, ["{bad"])], "page_id long, j array<string>").select("page_id", F.struct(F.col("j").alias("jsonld")).alias("f")))
+    assert {(r.name, r.description) for r in extract.organisations(items).collect()} == {("A", None), ("B", "d")}
+
+
+def test_freshness(spark):
+    raw = '[{"datePublished":"2026-08-27"},{"dateModified":"2020-01-01T00:00:00Z","dateCreated":"soon"}]'
+    items = extract.jsonld_items(spark.createDataFrame([(1, [raw])], "page_id long, j array<string>").select("page_id", F.struct(F.col("j").alias("jsonld")).alias("f")))
+    dated = extract.dates(items).select(F.lit("s").alias("site"), F.col("at").cast("string").alias("url"), "at")
+    got = audit.freshness(dated.union(dated), "2026-09-01").first()
+    assert (got.pages_with_dates, got.score) == (2, 20) and got.mean_days > 365
+
+
+def test_canonical_mismatches(spark):
+    rows = [(1, "https://www.a.b/x/", "https://a.b/x"), (2, "https://a.b/x", "/x?y=1"), (3, "https://a.b/x", "/z"), (4, "https://a.b/x", "https://c.d/x"), (5, "https://a.b/x", None), (6, "https://a.b/", "https://a.b")]
+    assert {r.page_id for r in audit.canonical_mismatches(spark.createDataFrame(rows, "page_id long, url string, canonical string")).collect()} == {3, 4}
+
+
+def test_sitemap_candidates(spark):
+    sites = spark.createDataFrame([("a.b", "User-agent: *\nSitemap: https://a.b/own.xml\nsitemap: https://a.b/sitemap.xml"), ("c.d", None)], "site string, robots string")
+    got = extract.sitemap_candidates(sites).orderBy("site", "place").collect()
+    assert [r.url for r in got][:3] == ["https://a.b/own.xml", "https://a.b/sitemap.xml", "https://a.b/sitemap_index.xml"] and len(got) == 5 + 4
