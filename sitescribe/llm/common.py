@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,16 +36,54 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Paths that ``scratch_of_stage`` has in its care, oldest first.
+_STAGE_PATHS: list[str] = []
+_IN_STAGE: list[bool] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and lets later reads prune columns.  The files
-    stay below ``<shared>/sitescribe/<application id>`` until that folder is deleted.
+    stay below ``<shared>/sitescribe/<application id>`` until they are discarded or that folder is
+    deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitescribe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if _IN_STAGE:
+        _STAGE_PATHS.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
+
+
+def scratch_of_stage(stage):
+    """For stages whose result is written before the next one begins: what one stage has
+    materialised is deleted when the next stage starts."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _STAGE_PATHS:
+            _delete(spark, _STAGE_PATHS.pop())
+        _IN_STAGE.append(True)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _IN_STAGE.pop()
+
+    return run
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -58,6 +97,12 @@ def text_key() -> "F.Column":
     return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows, 2 * ``rows`` at most, chosen by a hash of ``key``; no rows are gathered to choose."""
+    share = min(1.0, rows / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(F.lit(99), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * rows)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

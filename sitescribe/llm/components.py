@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _to_smallest(directed: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = _to_smallest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u <> v").distinct(), "stars")
+        discard(now)
         now, before, seen = after, seen, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
         if seen == before:  # a round that changes nothing leaves stars
             break

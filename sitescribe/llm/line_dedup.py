@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_key, utf8
+from .common import discard, materialise, small_batches, text_key, utf8
 
 #: A boundary follows a line in one of so many cases; bounds of a chunk's lines.
 DIVISOR, LEAST_LINES, MOST_LINES = 2, 2, 32
@@ -103,6 +103,7 @@ def line_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
     found = materialise(found, "chunks")
     place = F.struct("doc_id", "_key", "at")
     repeated = found.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    repeated = materialise(repeated, "repeated")  # so that the join below may be split where a chunk is very frequent
     flagged = found.join(repeated, ["f1", "f2"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
     flags = flagged.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(
         F.array_sort(F.collect_set("at")).alias("_flags"), F.array_sort(F.collect_set(F.when(F.col("later"), F.col("at")))).alias("_removed")
@@ -110,6 +111,7 @@ def line_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
     joined = docs.join(flags, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["_key"] == F.col("_of")), "left").drop("_id", "_of")
     bodies = F.pandas_udf(_bodies(bits), "array<struct<f1:long,f2:long,at:int,body:binary>>")
     stored = materialise(joined.withColumn("_bodies", bodies("text", "_flags")), "flagged")
+    discard(found, repeated)
 
     each = stored.select("doc_id", "_key", F.explode("_bodies").alias("b")).select("doc_id", "_key", "b.*")
     unlike = each.groupBy("f1", "f2").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("f1", "f2")

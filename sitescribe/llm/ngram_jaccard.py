@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, mix, shingle_set, small_batches
+from .common import WordHashes, discard, materialise, mix, shingle_set, small_batches
 from .components import connected_components
 
 #: Pieces of a band's sketch for each piece that has to be posted by its largest documents.
@@ -199,14 +199,18 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, similarity: Fracti
     docs = docs.select("doc_id", "text")
     signed = materialise(docs.mapInArrow(_signatures(width, p, q), "doc_id long, n_shingles long, print binary, keys array<long>"), "signatures")
     filled = signed.where("n_shingles > 0")
-    classes = filled.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
-    # Any row of a class can post for it: equal sets have equal keys.
+    # Written out, the classes meet the rows again in a join that may be split where a class is large.
+    classes = materialise(filled.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n")), "classes")
+    # Equal sets have equal keys, so any row of a class can post for it.
     posts = filled.where("size(keys) > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     posts = posts.where("node is not null").select("node", F.explode("keys").alias("key"))
     meets = posts.select("node", F.min("node").over(Window.partitionBy("key")).alias("least"))
     meets = meets.where("node <> least").distinct()
     families = connected_components(meets.select(F.col("node").alias("a"), F.col("least").alias("b")))
 
+    narrow = materialise(signed.drop("keys"), "documents")
+    discard(signed)
+
     sized = families.join(classes.groupBy("class_id").agg(F.sum("n").alias("n")), F.col("node") == F.col("class_id"))
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
     members = families.join(blocks, "component").select("node", F.col("component").alias("family"), "blocks")
@@ -219,6 +223,6 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, similarity: Fracti
     units = units.repartition("family", "one", "other").sortWithinPartitions("family", "one", "other")
     linked = connected_components(units.mapInArrow(_links(p, q), "a long, b long"))
 
-    found = signed.select("doc_id", "n_shingles", "print").join(classes.select("print", "class_id"), "print", "left")
+    found = narrow.join(classes.select("print", "class_id"), "print", "left")
     found = found.withColumn("known", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")))
     return found.join(linked, F.col("known") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "known").alias("component_id"))
