@@ -38,7 +38,9 @@ from .components import connected_components
 #: Pieces of a band's sketch for each piece that has to be posted by its largest documents.
 SLACK = 1.3
 #: Bytes of shingle hashes in one block of a family.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Words of sketches that are compared at once.
+STEP_WORDS = 1 << 18
 
 
 def furthest(a: int, b: int, p: int, q: int) -> int:
@@ -115,7 +117,8 @@ def forest(nodes: list[int], sides: list[int], sets: list[np.ndarray], p: int, q
         j = j[root[j] != root[i]] if not across else j[(root[j] != root[i]) & (sides[j] != sides[i])]
         if not len(j):
             continue
-        apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        # In steps, so that what is held besides the sketches stays small.
+        apart = np.concatenate([np.bitwise_count(sketches[some] ^ sketches[i]).sum(axis=1, dtype=np.int64) for some in np.array_split(j, 1 + len(j) * sketches.shape[1] // STEP_WORDS)])
         for k in j[apart <= (q - p) * (sizes[i] + sizes[j]) // (q + p)]:
             if root[k] == root[i]:
                 continue
