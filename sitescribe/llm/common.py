@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Entries that a worker's word-to-hash memo may hold; beyond it words are hashed each time.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import hash_sample, materialise, small_batches
 from .components import connected_components
 
-#: Vectors that the rotations are learned on, at most, and rounds of learning.
-SAMPLE, ROUNDS = 20_000, 30
+#: Vectors that the rotations are learned on, about, and rounds of learning.
+SAMPLE, ROUNDS = 10_000, 30
 #: Vectors that share a piece of code by chance, about; vectors in one block of a bucket.
 BUCKET, BLOCK = 32, 1024
 #: Wanted share of pairs at the threshold that meet in a table.
@@ -151,7 +151,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFra
 
     rows = classes.count()
     bits, tables = tables_for(rows, threshold)
-    drawn = [np.frombuffer(r["vector"], dtype=np.float64) for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()]
+    drawn = [np.frombuffer(r["vector"], dtype=np.float64) for r in hash_sample(classes, "node", SAMPLE, rows).select("vector").collect()]
     dims = max(map(len, drawn), default=1)
     sample = np.stack([np.pad(v / np.linalg.norm(v), (0, dims - len(v))) for v in drawn]) if drawn else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(learn_rotations(sample, bits * tables))
