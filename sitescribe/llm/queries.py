@@ -12,7 +12,7 @@ from .decontaminate import benchmark_matches
 from .embedding_dedup import embedding_duplicates
 from .html_text import extracted
 from .line_dedup import line_deduped
-from .lm_scoring import cross_entropy_difference, fit_models
+from .lm_scoring import word_scores
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
@@ -114,8 +114,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that are labelled good and not toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    models = fit_models(docs, labels.where("quality = 1 and toxic = 0").select("doc_id"))
-    return cross_entropy_difference(docs.select("doc_id", "text"), models).select("doc_id", "_lm.*")
+    scored = word_scores(docs.select("doc_id", "text"), labels.where("quality = 1 and toxic = 0").select("doc_id"))
+    return scored.select("doc_id", "_lm.*")
 
 
 #: Whole parts of the mixture by source; other sources have one part each.
