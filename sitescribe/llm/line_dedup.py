@@ -1,8 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines.
 
-A rolling hash over the hashes of neighbouring lines chooses the boundaries of chunks, so that
-lines put in or taken out elsewhere do not shift them.  Chunks of two lines or more that occur
-again anywhere are removed but for their first occurrence, after their bytes have been compared.
+``runs_deduped`` looks at every two neighbouring lines of every text.  Where they occur again
+anywhere both lines go, but for their first occurrence, after their bytes have been compared; as a
+run is what its neighbouring lines are, repeated runs go from their first line to their last.
+
+``line_deduped`` does so for content-defined chunks: a rolling hash over the hashes of neighbouring
+lines chooses their boundaries, so that lines put in or taken out elsewhere do not shift them.
+Where a run begins or ends inside a chunk, its edge stays.
 """
 
 from __future__ import annotations
@@ -36,6 +40,12 @@ def chunks(raw: bytes) -> list[list[bytes]]:
     return [*out, chunk] if chunk else out
 
 
+def neighbours(raw: bytes) -> list[list[bytes]]:
+    """Every two neighbouring lines of a text."""
+    lines = raw.split(b"\n")
+    return [lines[i : i + 2] for i in range(len(lines) - 1)]
+
+
 def removable(chunk: list[bytes]) -> bool:
     return len(chunk) >= LEAST_LINES and any(line.strip() for line in chunk)
 
@@ -45,12 +55,12 @@ def fingerprint(body: bytes, bits: int) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def _occurrences(bits: int):
+def _occurrences(bits: int, units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, doc_ids, keys = [], batch.column("doc_id").to_pylist(), batch.column("_key").to_pylist()
             for doc_id, key, text in zip(doc_ids, keys, batch.column("text").to_pylist(), strict=True):
-                for at, chunk in enumerate(chunks(utf8(text))):
+                for at, chunk in enumerate(units(utf8(text))):
                     if removable(chunk):
                         rows.append((doc_id, key, at, *fingerprint(b"\n".join(chunk), bits)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -60,11 +70,11 @@ def _occurrences(bits: int):
     return run
 
 
-def _bodies(bits: int):
+def _bodies(bits: int, units):
     def run(texts: pd.Series, flags: pd.Series) -> pd.Series:
         out = []
         for text, mine in zip(texts, flags, strict=True):
-            cut = chunks(utf8(text)) if mine is not None and len(mine) else []
+            cut = units(utf8(text)) if mine is not None and len(mine) else []
             bodies = [b"\n".join(cut[at]) for at in (mine if mine is not None else [])]
             out.append([(*fingerprint(b, bits), int(at), b) for at, b in zip(mine if mine is not None else [], bodies, strict=True)])
         return pd.Series(out, dtype=object)
@@ -72,15 +82,28 @@ def _bodies(bits: int):
     return run
 
 
-def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+def _without(pieces):
+    """Texts without the pieces of these numbers: chunks, or lines."""
+
     def keep(text: str | None, gone: np.ndarray | None) -> str | None:
         if text is None or gone is None or not len(gone):
             return text
         gone = set(gone.tolist())
-        lines = [line for at, chunk in enumerate(chunks(utf8(text))) if at not in gone for line in chunk]
+        lines = [line for at, piece in enumerate(pieces(utf8(text))) if at not in gone for line in piece]
         return b"\n".join(lines).decode("utf-8", "surrogatepass")
 
-    return pd.Series([keep(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
+    return lambda texts, removed: pd.Series([keep(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
+
+
+def _lines(raw: bytes) -> list[list[bytes]]:
+    return [[line] for line in raw.split(b"\n")]
+
+
+def _both_lines(place, first):
+    """Numbers of the lines that go with two neighbouring lines; where these overlap their own first occurrence, that stays whole."""
+    at = F.col("at")
+    overlap = place.eqNullSafe(F.struct(first["doc_id"].alias("doc_id"), first["_key"].alias("_key"), (first["at"] + 1).alias("at")))
+    return F.when(overlap, F.array(at + 1)).otherwise(F.array(at, at + 1))
 
 
 def line_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
@@ -95,21 +118,37 @@ def line_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
     One shuffle moves the texts.  Fingerprints are counted with partial aggregation; bodies of
     repeated chunks are compared by their smallest and largest, which combine before the shuffle.
     """
+    return _deduped(docs, bits, chunks, chunks, lambda place, first: F.array("at"))
+
+
+def runs_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
+    """``docs`` with repeated runs of two lines and more removed from ``text``, and a column ``_removed`` of their lines' numbers.
+
+    A line goes where it and a neighbour occurred before, side by side: at a smaller ``doc_id``,
+    text or place.  So the bytes of each line that goes are kept at an earlier place, also where
+    runs overlap.  Two blank lines are no run.  All else is as in ``line_deduped``.
+    """
+    return _deduped(docs, bits, neighbours, _lines, _both_lines)
+
+
+def _deduped(docs: DataFrame, bits: int, units, pieces, goes) -> DataFrame:
+    """Repeated ``units`` of a text removed; ``goes(place, first)`` says which of the text's ``pieces`` go with one."""
     small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("_key", "_flags", "_bodies", "_removed")]
     docs = docs.select(*columns).withColumn("_key", text_key())
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "_key", "text").mapInArrow(_occurrences(bits), f"doc_id {id_type}, _key long, at int, f1 long, f2 long")
+    found = docs.select("doc_id", "_key", "text").mapInArrow(_occurrences(bits, units), f"doc_id {id_type}, _key long, at int, f1 long, f2 long")
     found = materialise(found, "chunks")
     place = F.struct("doc_id", "_key", "at")
+    removed = lambda pieces: F.array_sort(F.array_distinct(F.flatten(F.collect_list(pieces))))
     repeated = found.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     repeated = materialise(repeated, "repeated")  # so that the join below may be split where a chunk is very frequent
     flagged = found.join(repeated, ["f1", "f2"]).withColumn("later", ~place.eqNullSafe(F.col("first")))
     flags = flagged.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(
-        F.array_sort(F.collect_set("at")).alias("_flags"), F.array_sort(F.collect_set(F.when(F.col("later"), F.col("at")))).alias("_removed")
+        F.array_sort(F.collect_set("at")).alias("_flags"), removed(F.when(F.col("later"), goes(place, F.col("first")))).alias("_removed")
     )  # chunks of one document only
     joined = docs.join(flags, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["_key"] == F.col("_of")), "left").drop("_id", "_of")
-    bodies = F.pandas_udf(_bodies(bits), "array<struct<f1:long,f2:long,at:int,body:binary>>")
+    bodies = F.pandas_udf(_bodies(bits, units), "array<struct<f1:long,f2:long,at:int,body:binary>>")
     stored = materialise(joined.withColumn("_bodies", bodies("text", "_flags")), "flagged")
     discard(found, repeated)
 
@@ -118,11 +157,11 @@ def line_deduped(docs: DataFrame, bits: int = 128) -> DataFrame:
     if not unlike.isEmpty():  # equal fingerprints of unlike bytes: decide by the bytes themselves
         firsts = each.groupBy("f1", "f2", "body").agg(F.min(place).alias("first"))
         later = each.join(firsts, ["f1", "f2", "body"]).where(~place.eqNullSafe(F.col("first")))
-        exact = later.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.array_sort(F.collect_set("at")).alias("_exact"))
+        exact = later.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(removed(goes(place, F.col("first"))).alias("_exact"))
         stored = stored.join(exact, stored["doc_id"].eqNullSafe(F.col("_id")) & (stored["_key"] == F.col("_of")), "left").withColumn("_removed", F.col("_exact"))
     changed = F.size(F.coalesce("_removed", F.array().cast("array<int>"))) > 0
     out = stored.withColumn("_removed", F.when(changed, F.col("_removed")).otherwise(F.array().cast("array<int>")))
-    out = out.withColumn("text", F.when(changed, F.pandas_udf(_without, "string")("text", "_removed")).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(changed, F.pandas_udf(_without(pieces), "string")("text", "_removed")).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns, "_removed")

@@ -11,7 +11,7 @@ from .common import table
 from .decontaminate import benchmark_matches
 from .embedding_dedup import embedding_duplicates
 from .html_text import extracted
-from .line_dedup import line_deduped
+from .line_dedup import runs_deduped
 from .lm_scoring import word_scores
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
@@ -153,10 +153,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document: lines removed with their chunks, characters, and the text's digest."""
-    kept = line_deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """What is left of each document: lines removed, characters, and the text's digest."""
+    kept = runs_deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
-        "doc_id", F.size("_removed").cast("long").alias("n_removed_chunks"), F.length("text").cast("long").alias("n_chars"),
+        "doc_id", F.size("_removed").cast("long").alias("n_removed_lines"), F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
 
