@@ -2,7 +2,8 @@
 
 Rotations that make the signs of rotated vectors balanced and close to the vectors are learned on
 a bounded sample.  The signs of several such rotations form a long binary code, cut into as many
-tables as the wanted recall asks for.  Vectors of one label that agree in a table's piece of the
+tables as the wanted recall asks for.  Vectors are not centred: the number of tables follows from
+their angle through the origin, and about a common mean that angle would be wider.  Vectors of one label that agree in a table's piece of the
 code are candidates; their cosine is computed from the original vectors in double precision.
 """
 
@@ -37,18 +38,17 @@ def tables_for(rows: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
 
-def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projections (dimensions x bits), by iterative quantisation from random starts."""
+def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
+    """Projections (dimensions x bits), by iterative quantisation from random starts."""
     dims = sample.shape[1]
-    mean, rng, out = sample.mean(axis=0), np.random.default_rng(seed), []
-    centred = sample - mean
+    rng, out = np.random.default_rng(seed), []
     for _ in range(-(-bits // dims)):
         rotation, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
         for _ in range(ROUNDS):
-            left, _, right = np.linalg.svd(np.where(centred @ rotation >= 0, 1.0, -1.0).T @ centred)
+            left, _, right = np.linalg.svd(np.where(sample @ rotation >= 0, 1.0, -1.0).T @ sample)
             rotation = (left @ right).T
         out.append(rotation)
-    return mean, np.hstack(out)[:, :bits]
+    return np.hstack(out)[:, :bits]
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -60,13 +60,14 @@ def _encode(shared, bits: int, tables: int):
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(vectors: pd.Series) -> pd.Series:
-        mean, rotations = shared.value
+        rotations = shared.value
+        dims = len(rotations)
         out = []
         for v in vectors:
             x = np.frombuffer(v, dtype=np.float64)
             x = x / np.linalg.norm(x)
-            x = np.pad(x, (0, max(0, len(mean) - len(x))))[: len(mean)]  # only finds candidates
-            out.append((((x - mean) @ rotations >= 0).reshape(tables, bits) @ weights).astype(np.int32))
+            x = np.pad(x, (0, max(0, dims - len(x))))[:dims]  # only finds candidates
+            out.append(((x @ rotations >= 0).reshape(tables, bits) @ weights).astype(np.int32))
         return pd.Series(out, dtype=object)
 
     return run
