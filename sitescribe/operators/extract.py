@@ -7,7 +7,7 @@ One Arrow UDF reads each page once and returns a struct; what can be told from t
 from __future__ import annotations
 
 import difflib
-from functools import reduce
+import json
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
@@ -179,19 +179,26 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "item", kinds.alias("types"))
 
 
-def organisations(items: DataFrame, depth: int = 6) -> DataFrame:
-    """(page_id, name, description): objects of type Organization at any depth of the pages' JSON-LD.
-
-    One generator a level; a level holds only objects and lists that the one before contains.
-    """
-    spark = items.sparkSession
-    level = items.select("page_id", F.col("item").alias("v"))
-    found = []
-    for _ in range(depth):
-        found.append(level)
-        inner = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
-        level = inner.where("value is not null").select("page_id", F.col("value").alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-    every = reduce(DataFrame.union, found).where(F.schema_of_variant("v").startswith("OBJECT"))
+def _typed_objects(raw: pd.Series) -> pd.Series:
+    """JSON of the objects with a type at any depth: type, name and description of each."""
+    out = []
+    for text in raw:
+        found, left = [], [json.loads(text)]
+        while left:
+            value = left.pop()
+            if isinstance(value, dict):
+                if "@type" in value:
+                    found.append(json.dumps({k: value[k] for k in ("@type", "name", "description") if k in value}))
+                left.extend(value.values())
+            elif isinstance(value, list):
+                left.extend(value)
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
+def organisations(items: DataFrame) -> DataFrame:
+    """(page_id, name, description): objects of type Organization at any depth of the pages' JSON-LD."""
+    every = items.select("page_id", F.explode(F.pandas_udf(_typed_objects, "array<string>")(F.to_json("item"))).alias("raw")).select("page_id", F.parse_json("raw").alias("v"))
     kind = F.coalesce(F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), ","), F.try_variant_get("v", "$['@type']", "string"))
     text = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
     return every.where(F.array_contains(F.split(kind, ","), "Organization")).select("page_id", text("name"), text("description"))

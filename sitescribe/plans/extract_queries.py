@@ -50,6 +50,11 @@ def page_structured_data(spark, sf_dir):
     return extract.jsonld_items(featured(spark, sf_dir)).select("page_id", "types")
 
 
+@query()
+def page_organisations(spark, sf_dir):
+    return extract.organisations(extract.jsonld_items(featured(spark, sf_dir)))
+
+
 @query()
 def turn_diffs(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
