@@ -10,6 +10,7 @@ blocks, and its nearest neighbours vote with weights that grow with similarity.
 from __future__ import annotations
 
 import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ BUCKETS = 4096
 SAMPLE_PER_CLASS = 2000
 #: Latent directions, neighbours that vote, and the power of similarity that weighs a vote.
 DIRECTIONS, NEIGHBOURS, POWER = 64, 15, 8
-#: Documents in one block of cosine products.
-BLOCK = 512
+#: Documents in one block of cosine products, and rows of one block of the fit.
+BLOCK, FIT_BLOCK = 512, 256
 
 _HASH = np.random.default_rng(7).integers(0, BUCKETS, (3, 256), dtype=np.uint16)
 
@@ -42,21 +43,50 @@ def terms(text: str | None) -> np.ndarray:
     return np.sqrt(np.append(counts / (len(b) - 2), repeats)).astype(np.float32)
 
 
+def packed(bag: np.ndarray) -> bytes:
+    """The terms that a bag has: their places, then their values."""
+    at = np.flatnonzero(bag)
+    return at.astype(np.uint16).tobytes() + bag[at].astype(np.float16).tobytes()
+
+
+class Bags:
+    """Packed bags of all fitted rows; whole ones exist for a block of rows at a time only."""
+
+    def __init__(self, rows: list[bytes]):
+        self.ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+        self.places = np.concatenate([np.frombuffer(r, np.uint16, len(r) // 4) for r in rows])
+        self.values = np.concatenate([np.frombuffer(r, np.float16, len(r) // 4, len(r) // 2) for r in rows])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for start in range(0, len(self), FIT_BLOCK):
+            ends = self.ends[start : start + FIT_BLOCK + 1]
+            out = np.zeros((len(ends) - 1, BUCKETS + 1), dtype=np.float32)
+            out[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), self.places[ends[0] : ends[-1]]] = self.values[ends[0] : ends[-1]]
+            yield out
+
+
 class Voters:
     """The labelled vectors and the projection that made them; of bounded size."""
 
-    def __init__(self, bags: np.ndarray, labels: np.ndarray):
-        seen = (bags[:, :BUCKETS] > 0).sum(axis=0)
+    def __init__(self, bags: Bags, labels: np.ndarray):
+        seen = np.bincount(bags.places, minlength=BUCKETS + 1)[:BUCKETS]
         self.weights = np.maximum(np.log((len(bags) + 1) / (seen + 1)), 0.1).astype(np.float32)
-        weighted = self._weighted(bags)
-        # Leading right singular vectors by subspace iteration; no matrix of buckets by buckets is made.
-        basis = np.random.default_rng(11).standard_normal((weighted.shape[1], DIRECTIONS + 16)).astype(np.float32)
+        # Leading right singular vectors by subspace iteration over blocks of rows; no matrix of
+        # rows by buckets or of buckets by buckets is made.
+        basis = np.random.default_rng(11).standard_normal((BUCKETS + 1, DIRECTIONS + 16)).astype(np.float32)
         for _ in range(8):
-            basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-        inner = weighted @ basis
+            after = np.zeros_like(basis)
+            for weighted in map(self._weighted, bags.blocks()):
+                after += weighted.T @ (weighted @ basis)
+            basis, _ = np.linalg.qr(after)
+        inner = np.vstack([self._weighted(block) @ basis for block in bags.blocks()])
         _, turn = np.linalg.eigh(inner.T @ inner)
-        self.directions = np.ascontiguousarray(basis @ turn[:, -DIRECTIONS:])
-        self.vectors = self._unit(weighted @ self.directions)
+        turn = turn[:, -DIRECTIONS:]
+        self.directions = np.ascontiguousarray(basis @ turn)
+        self.vectors = self._unit(inner @ turn)
         self.labels = labels.astype(np.float32)
 
     @staticmethod
@@ -84,20 +114,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     """Fits on up to ``per_class`` rows of either class, the first in order of a hash of ``doc_id``.
 
     Only rows that are not held out are used, and only their texts.  Rows without a label or a text
-    are passed over; of repeated rows one is used, of several labels the lowest.  None where no labelled row is left.
+    are passed over; of rows that share a ``doc_id`` one text counts, always the same one, and of
+    several labels the lowest.  None where no labelled row is left.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.where("_label = 0").orderBy(*order).limit(per_class).unionAll(usable.where("_label = 1").orderBy(*order).limit(per_class))
     # No more than 2 * per_class rows of two numbers: this bound is why the sample may be broadcast.
-    bags = F.pandas_udf(lambda texts: pd.Series([terms(t).astype(np.float16).tobytes() for t in texts]), "binary")
+    bags = F.pandas_udf(lambda texts: pd.Series([packed(terms(t)) for t in texts]), "binary")
     small_batches(docs.sparkSession, 500)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", bags("text").alias("bag")).collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
-    if not rows:
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", bags("text").alias("bag"))
+    rows = rows.groupBy("doc_id", "_label").agg(F.min("bag").alias("bag")).orderBy("doc_id").toArrow()  # one row for each of the sample
+    if not rows.num_rows:
         return None
-    texts = np.stack([np.frombuffer(r["bag"], dtype=np.float16) for r in rows]).astype(np.float32)
-    return Voters(texts, np.array([r["_label"] for r in rows]))
+    return Voters(Bags([x.as_py() for x in rows.column("bag")]), rows.column("_label").to_numpy())
 
 
 def quality_scores(docs: DataFrame, voters: Voters | None) -> DataFrame:
