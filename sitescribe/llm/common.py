@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import math
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -24,21 +27,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where the cluster names one, else the context's checkpoint
-    directory; only where neither is set (tests on one machine) a new temporary folder.
+    ``spark.checkpoint.dir`` where the cluster names one, else the context's checkpoint directory.
+    Only where neither is set and driver and executors are one process (tests) a new temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sitescribe-"))
     return context.getCheckpointDir().rstrip("/")
 
 
-#: Paths that ``scratch_of_stage`` has in its care, oldest first.
-_STAGE_PATHS: list[str] = []
-_IN_STAGE: list[bool] = []
+class Scratch:
+    """What the stages of one pipeline have materialised.
+
+    A stage's result reads its tables when it is written, so they can only go once the next stage
+    begins with that written result; tables that the next stage's ``docs`` still reads stay.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def stage(self, f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            read = docs.inputFiles() if self.paths else []
+            for path in [p for p in self.paths if not any(p.split("/sitescribe/")[-1] in x for x in read)]:
+                _delete(spark, path)
+                self.paths.remove(path)
+            before = _SCOPE.set(self)
+            try:
+                return f(spark, docs, sf_dir)
+            finally:
+                _SCOPE.reset(before)
+
+        return run
+
+
+_SCOPE: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,8 +82,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if _IN_STAGE:
-        _STAGE_PATHS.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.paths.append(path)
     return out
 
 
@@ -67,29 +96,46 @@ def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     for t in tables:
         _delete(t.sparkSession, t._scratch_path)
+        if (scope := _SCOPE.get()) is not None and t._scratch_path in scope.paths:
+            scope.paths.remove(t._scratch_path)
 
 
-def scratch_of_stage(stage):
-    """For stages whose result is written before the next one begins: what one stage has
-    materialised is deleted when the next stage starts."""
+#: Bits of a bitmap of marks for each marked row, and bits of a bitmap at most (8 MB): with more
+#: marked rows than that more rows pass that are not marked, which the join behind it sorts out.
+MARK_BITS, MOST_BITS = 64, 26
 
-    @functools.wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _STAGE_PATHS:
-            _delete(spark, _STAGE_PATHS.pop())
-        _IN_STAGE.append(True)
-        try:
-            return stage(spark, docs, sf_dir)
-        finally:
-            _IN_STAGE.pop()
 
-    return run
+def maybe_in(df: DataFrame, keys: list[str], marked: DataFrame, marked_keys: list[str]) -> DataFrame:
+    """``df`` and a boolean column ``_maybe``: false only where no row of ``marked`` has these keys.
 
+    For joins of a large table with few partners: rows that surely have none need no shuffle.
+    ``marked`` is counted and hashed into a bitmap of bounded size, which is broadcast; a null key
+    is marked like a value.
+    """
+    bits = min(MOST_BITS, max(15, math.ceil(math.log2(MARK_BITS * max(1, marked.count())))))
+    place = lambda columns: F.pmod(F.xxhash64(F.lit(41), *columns), F.lit(1 << bits))
+    put = marked.select(place(marked_keys).alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("_page"))
+    pages = F.broadcast(put.agg(F.bitmap_construct_agg((F.col("h") % 32768)).alias("_bits")))
+    at = place(keys)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.drop("_page", "_bits", "_maybe").withColumn("_page", F.floor(at / 32768)).join(pages, "_page", "left")
+    hit = F.bit_get(byte, (at % 8).cast("int")) == 1
+    return found.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_page", "_bits")
+
+
+#: Bytes of rows that go to a Python worker at once, about; the JVM holds a few times as much beside its heap.
+BATCH_BYTES = 8 << 20
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once when rows carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound what a Python worker holds at once when rows carry whole texts.
+
+    Plans read these settings when they run, so they stay set; a smaller number of rows that the
+    session has is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)) or rows)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_key() -> "F.Column":

@@ -12,9 +12,11 @@ def _to_smallest(directed: DataFrame) -> DataFrame:
     """(u, v, m): every edge with the smallest of u and all its v.
 
     The minimum is aggregated before it meets the edges again, so a hub's rows are combined on
-    the map side and the join back is one that AQE may split.
+    the map side.  It is grouped by ~u, which says the same but is dealt otherwise, so that the sums
+    reach the join by an exchange of their own: only then AQE may split a hub's rows in the join.
     """
-    least = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = directed.groupBy(F.bitwise_not("u").alias("k")).agg(F.min("v").alias("v"))
+    least = least.select(F.bitwise_not("k").alias("u"), F.least("v", F.bitwise_not("k")).alias("m"))
     return directed.join(least, "u")
 
 
@@ -40,7 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         after = materialise(small.where("u <> v").distinct(), "stars")
         discard(now)
-        now, before, seen = after, seen, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        now, before, seen = after, seen, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "u", "v"))).first()
         if seen == before:  # a round that changes nothing leaves stars
             break
     else:

@@ -23,7 +23,7 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(table(spark, sf_dir, "documents"), width=3, similarity=Fraction(9, 10))
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), width=3, similarity=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = rf"""
