@@ -12,7 +12,7 @@ from .decontaminate import benchmark_matches
 from .embedding_dedup import embedding_duplicates
 from .html_text import extracted
 from .line_dedup import runs_deduped
-from .lm_scoring import word_scores
+from .lm_scoring import text_scores
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
@@ -111,11 +111,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0)
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that are labelled good and not toxic."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = word_scores(docs.select("doc_id", "text"), labels.where("quality = 1 and toxic = 0").select("doc_id"))
-    return scored.select("doc_id", "_lm.*")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = text_scores(docs, labels.where("quality = 1 and toxic = 0").select("doc_id"))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
+
+
+ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+OP2_SQL = rf"""
+WITH targets AS (SELECT DISTINCT doc_id, true AS target FROM labels WHERE quality = 1 AND toxic = 0
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(target, false) AS target, regexp_extract_all(coalesce(text, ''), '[{ALONE}]|[^\x20\x09-\x0D{ALONE}]+') AS w
+  FROM documents LEFT JOIN targets USING (doc_id)
+), tokens AS (
+  SELECT r, doc_id, target, unnest(w) AS w, unnest(list_concat([NULL, NULL], w)[1:len(w)]) AS u, unnest(list_concat([NULL], w)[1:len(w)]) AS v FROM docs WHERE len(w) > 0
+), counts AS (SELECT w, count(*) AS b, count(*) FILTER (target) AS t FROM tokens GROUP BY w
+), totals AS (SELECT sum(b) AS b, sum(t) AS t, count(*) AS n FROM counts
+), hot AS (SELECT counts.* FROM counts, totals WHERE counts.b >= 1e-5 * totals.b
+), rest AS (
+  SELECT any_value(totals.b) + count(hot.w) + 1 AS whole_b, any_value(totals.t) + count(hot.w) + 1 AS whole_t, any_value(totals.b) - coalesce(sum(hot.b), 0) + 1 AS rare_b,
+    any_value(totals.t) - coalesce(sum(hot.t), 0) + 1 AS rare_t, greatest(1, any_value(totals.n) - count(hot.w)) AS rare_n FROM totals LEFT JOIN hot ON true
+), p AS (
+  SELECT tokens.*, coalesce((hot.b + 1) / whole_b, rare_b / whole_b / rare_n) AS pb, coalesce((hot.t + 1) / whole_t, rare_t / whole_t / rare_n) AS pt,
+    u IS NOT NULL AND substr(md5(u), 1, 1) = substr(md5(v), 2, 1) AS anchored
+  FROM tokens LEFT JOIN hot ON hot.w = tokens.w, rest
+), grams AS (SELECT u, v, w, count(*) AS b, count(*) FILTER (target) AS t FROM p WHERE anchored GROUP BY ALL
+), histories AS (SELECT u, v, sum(b) AS b, sum(t) AS t FROM grams GROUP BY ALL
+), own AS (SELECT r, u, v, w, count(*) AS n FROM p WHERE anchored GROUP BY ALL
+), own_histories AS (SELECT r, u, v, sum(n) AS m FROM own GROUP BY ALL
+), each AS (
+  SELECT p.r, CASE WHEN anchored THEN (g.b - n + 2 * pb) / (h.b - m + 2) ELSE pb END AS qb,
+    CASE WHEN anchored THEN (g.t - CASE WHEN target THEN n ELSE 0 END + 2 * pt) / (h.t - CASE WHEN target THEN m ELSE 0 END + 2) ELSE pt END AS qt
+  FROM p LEFT JOIN grams g ON anchored AND p.u = g.u AND p.v = g.v AND p.w = g.w LEFT JOIN histories h ON anchored AND p.u = h.u AND p.v = h.v
+    LEFT JOIN own ON anchored AND p.r = own.r AND p.u = own.u AND p.v = own.v AND p.w = own.w LEFT JOIN own_histories o ON anchored AND p.r = o.r AND p.u = o.u AND p.v = o.v
+), losses AS (SELECT r, -avg(ln(qt)) AS loss_target, -avg(ln(qb)) AS loss_background FROM each GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(loss_target, 6) AS loss_target, round(loss_background, 6) AS loss_background, round(loss_target - loss_background, 6) AS score
+FROM docs LEFT JOIN losses USING (r)
+"""
 
 
 #: Whole parts of the mixture by source; other sources have one part each.
@@ -162,4 +196,4 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_url_filter": op6_url_filter, "op7_html_text": op7_html_text, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
-ORACLES = {"op8_embedding_dedup": OP8_SQL, "op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op2_lm_scoring": OP2_SQL, "op8_embedding_dedup": OP8_SQL, "op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sitescribe.llm import decontaminate as D
 from sitescribe.llm import line_dedup as L
-from sitescribe.llm import lm_scoring as M
 from sitescribe.llm import quality_knn as Q
 from sitescribe.llm import secret_scan as S
 from sitescribe.llm.mixing import mixed
@@ -158,19 +157,6 @@ def test_quality_on_held_out_rows(spark):
     assert {r.doc_id: r._score for r in Q.quality_scores(odd, None).collect()} == {-1: 0.0, -2: 0.0, -3: 1.0}
 
 
-def test_language_models_equal_counts(spark):
-    docs = ["the cat sat", "the dog sat. THE END\n", "zzzz 9999", None, "", "é" * 500]
-    models = M.fit_models(frame(spark, docs), spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id long"))
-    counts = np.zeros(M.SYMBOLS**3, dtype=np.int64)
-    for d in docs:
-        np.add.at(counts, M.ngrams(d), 1)
-    assert np.allclose(models[1], M.log_probabilities(counts))
-    assert np.allclose(np.exp(models[0]).reshape(-1, M.SYMBOLS).sum(axis=1), 1)
-    out = {r.doc_id: r._lm for r in M.cross_entropy_difference(frame(spark, docs), models).collect()}
-    assert out[0].score < out[2].score and out[0].n_tokens == 11 and out[3].score is None and out[4].n_tokens == 0
-    assert M.cross_entropy_difference(frame(spark, docs).limit(0), models).collect() == []
-
-
 def test_secrets(spark):
     made = S.labelled_findings(2000, seed=8)
     grams = frozenset(f[1][i : i + 3] for f in S.labelled_findings(500, seed=9) for i in range(len(f[1]) - 2) if f[1][i : i + 3].isalpha())
