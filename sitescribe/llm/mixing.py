@@ -13,38 +13,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Sources times slots of a period that are worked out, at most.
-MOST_STEPS = 50_000_000
+#: Slots of a period that are appended to one array before it is put away whole.
+CHUNK = 1024
 
 
 def period_slots(parts: DataFrame) -> DataFrame:
-    """(_s, _parts, _turn, _slot, _period) of one period of ``parts(_s, _parts)``.
+    """(_s, _turn, _slot, _period) of one period of ``parts(_s, _parts)``.
 
-    One row holds all sources; its size is that of the weight table, which is bounded by
-    ``MOST_STEPS``, whatever the number of documents.
+    Sources of equal weight have equal windows, so they take turns in their order and are scheduled
+    as one: what a slot costs depends on the number of different weights, which the given table of
+    weights bounds, and not on that of sources.  One row holds the numbers of all sources and slots
+    of a period; its size is that of the list of sources, whatever the number of documents.
     """
-    one = parts.agg(F.array_sort(F.collect_list(F.struct("_s", "_parts"))).alias("sources"), F.sum("_parts").alias("period"))
+    numbered = parts.select("_s", "_parts", (F.row_number().over(Window.orderBy("_s")) - 1).alias("_i"))  # one row for each source
+    groups = numbered.groupBy("_parts").agg(F.array_sort(F.collect_list("_i")).alias("members"))
+    one = groups.agg(F.array_sort(F.collect_list(F.struct(F.col("_parts").alias("parts"), "members"))).alias("groups"), F.sum(F.col("_parts") * F.size("members")).alias("period"))
     one = one.where("period > 0")
-    too_many = F.size("sources") * F.col("period") > MOST_STEPS
-    one = one.withColumn("period", F.when(too_many, F.raise_error(F.lit("too many sources or too fine weights"))).otherwise(F.col("period")))
     period = F.col("period")
-    start = F.struct(
-        F.transform("sources", lambda s, i: F.struct(i.alias("i"), s["_parts"].alias("parts"), F.lit(1).cast("long").alias("k"))).alias("state"),
-        F.array().cast("array<int>").alias("picks"),
-    )
+    counts = F.transform("groups", lambda g: F.lit(0).cast("long"))
+
+    def due(group, done, slot):
+        """Deadline and number of the next block of a group of sources, where it is released."""
+        size = F.size(group["members"])
+        k = F.floor(done / size) + 1
+        place = F.struct(F.ceil(k * period / group["parts"]).alias("due"), F.element_at(group["members"], (done % size).cast("int") + 1).alias("i"))
+        return F.when(F.floor((k - 1) * period / group["parts"]) <= slot, place)
 
     def step(acc, slot):
-        released = F.filter(acc["state"], lambda x: F.floor((x["k"] - 1) * period / x["parts"]) <= slot)
-        due = F.transform(released, lambda x: F.struct(F.ceil(x["k"] * period / x["parts"]).alias("due"), x["i"].alias("i")))
-        pick = F.array_min(due)["i"]
-        state = F.transform(acc["state"], lambda x: F.struct(x["i"].alias("i"), x["parts"].alias("parts"), (x["k"] + F.when(x["i"] == pick, 1).otherwise(0)).alias("k")))
-        return F.struct(state.alias("state"), F.concat(acc["picks"], F.array(pick)).alias("picks"))
+        each = F.zip_with("groups", acc["done"], lambda g, done: due(g, done, slot))
+        # A list of one, so that the choice is made once and not for each use of it.
+        return F.transform(F.array(F.array_min(F.array_compact(each))), lambda pick: F.struct(
+            F.zip_with(acc["done"], each, lambda done, mine: done + F.coalesce((mine["i"] == pick["i"]).cast("long"), F.lit(0).cast("long"))).alias("done"),
+            F.concat(acc["picks"], F.array(pick["i"])).alias("picks"),
+        ))[0]
+
+    def stretch(acc, first):
+        slots = F.sequence(first, F.least(first + CHUNK, period) - 1)
+        inner = F.aggregate(slots, F.struct(acc["done"].alias("done"), F.array().cast("array<int>").alias("picks")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["done"].alias("done"), F.concat(acc["picks"], F.array(x["picks"])).alias("picks")))[0]
 
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step, lambda acc: acc["picks"])
-    slots = one.select("sources", "period", F.posexplode(picks).alias("_slot", "pick"))
-    slots = slots.select(F.element_at("sources", F.col("pick") + 1).alias("s"), F.col("_slot").cast("long").alias("_slot"), F.col("period").alias("_period"))
-    turn = F.row_number().over(Window.partitionBy("s._s").orderBy("_slot")) - 1
-    return slots.select("s._s", "s._parts", turn.cast("long").alias("_turn"), "_slot", "_period")
+    begin = F.struct(counts.alias("done"), F.array().cast("array<array<int>>").alias("picks"))
+    picks = F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1, F.lit(CHUNK).cast("long")), begin, stretch, lambda acc: acc["picks"]))
+    slots = one.select(period.alias("_period"), F.posexplode(picks).alias("_slot", "_i"))
+    turn = F.row_number().over(Window.partitionBy("_i").orderBy("_slot")) - 1
+    slots = slots.select("_i", turn.cast("long").alias("_turn"), F.col("_slot").cast("long").alias("_slot"), "_period")
+    return slots.join(numbered.drop("_parts"), "_i").drop("_i")
 
 
 def mixed(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block: int = 8, seed: str = "mix", digits: int = 3) -> DataFrame:
@@ -56,8 +69,10 @@ def mixed(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, blo
     the counts of earlier buckets are added, so no task holds a whole source.  Every row is kept.
     When a source has run out its later slots stay empty and the others go on in proportion.
 
-    A null source counts as the empty one.  Null ids, repeated rows and ties take any order among
-    themselves.  An empty table gives no rows.  Columns named like the results are replaced.
+    A null source counts as the empty one.  Rows that share an id, or have none, come in order of a
+    hash of their other columns, so that a task that is run again deals the same slots; rows that are
+    equal in all columns are interchangeable.  An empty table gives no rows.  Columns named like the
+    results are replaced.
     """
     if min([default_weight, *weights.values()]) < 1 or block < 1:
         raise ValueError("weights and block must be 1 or more")
@@ -74,11 +89,11 @@ def mixed(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, blo
         part = F.when(F.col("_s") == name, F.lit(n).cast("long")).otherwise(part)
     parts = counts.groupBy("_s").agg(F.sum("count").alias("n")).select("_s", part.alias("_parts"))
 
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_order", "doc_id")) - 1)
+    ties = [F.xxhash64(*(c for c in columns if "map" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()))]
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_order", "doc_id", *ties)) - 1)
     ranked = ranked.join(offsets, ["_s", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_parts", part)
     ranked = ranked.withColumn("_turn", F.col("_block") % F.col("_parts"))
-    # The period has at most MOST_STEPS slots, a proven bound.
-    slots = F.broadcast(period_slots(parts).drop("_parts"))
+    slots = period_slots(parts)
     slot = F.floor(F.col("_block") / F.col("_parts")) * F.col("_period") + F.col("_slot")
     return ranked.join(slots, ["_s", "_turn"]).select(*columns, slot.cast("long").alias("mix_slot"), (F.col("_rank") % block).cast("int").alias("mix_offset"))

@@ -1,6 +1,7 @@
 """Decontamination, line dedup, mixing, classifier, language models and secrets."""
 
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,6 +146,28 @@ def test_mixing_keeps_rows_and_deviates_less_than_a_block(spark):
         mixed(spark.createDataFrame([], "doc_id long, source string"), {"a": 0})
 
 
+def test_mixing_many_sources(spark):
+    """Ten thousand sources of three weights: each slot once, and each block within its window."""
+    n, weights = 10_000, {**{f"s{i}": 3 for i in range(0, 10_000, 1000)}, **{f"s{i}": 2 for i in range(1, 10_000, 500)}}
+    sources = spark.range(n).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    docs = sources.crossJoin(spark.range(6).select(F.col("id").alias("k"))).select(F.xxhash64("source", "k").alias("doc_id"), "source")
+    began = time.monotonic()
+    out = mixed(docs, weights, block=1).toPandas()
+    assert time.monotonic() - began < 90
+    period = n + 2 * 10 + 20
+    assert len(out) == 6 * n and out.mix_slot.is_unique
+    out["parts"] = out.source.map(weights).fillna(1).astype(int)
+    out = out.sort_values("mix_slot")
+    k = out.groupby("source").cumcount() + 1
+    assert ((out.mix_slot >= (k - 1) * period // out.parts) & (out.mix_slot < -(-k * period // out.parts))).all()
+
+
+def test_mixing_breaks_ties_by_content(spark):
+    rows = [(1, f"text {i}", "a") for i in range(30)]
+    deal = lambda rows: {(r.text, r.mix_slot, r.mix_offset) for r in mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), {}, block=4).collect()}
+    assert deal(rows) == deal(rows[::-1])
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x")], "doc_id long, text string")
