@@ -14,6 +14,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -21,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, small_batches, utf8
+from .common import small_batches, utf8
 
 #: Bytes before a candidate in which neighbouring words are looked for.
 NEIGHBOURHOOD = 48
@@ -33,18 +34,23 @@ CREDENTIAL_WORDS = "password passwd pwd passphrase secret token apikey api_key a
 HARMLESS_WORDS = "example sample dummy placeholder test fake changeme checksum sha256 sha1 md5 commit uuid digest etag version build".split()
 HARMLESS_PATHS = "test example sample doc fixture mock vendor".split()
 
+# A long token; what is assigned to a name that holds one of these words; the password of an address.
 _TOKEN = regex.compile(rb"[A-Za-z0-9_\-+/=.]{16,}+")
-_ASSIGNED = regex.compile(rb"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{6,})")
+_ASSIGNED = regex.compile(rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[A-Za-z0-9_\-]{0,20}+[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
+_ADDRESS = regex.compile(rb"://[^\s/:@]{1,64}+:([^\s/@]{6,128}+)@")
 _KINDS = bytes(0 if chr(b).islower() and b < 128 else 1 if chr(b).isupper() and b < 128 else 2 if chr(b) in string.digits else 3 for b in range(256))
 FEATURES = 6 + 16 + 5
 
 
 def candidates(raw: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, pattern) of each candidate, left to right; an assignment's value wins over a token."""
-    found = {m.span(1): "assigned" for m in _ASSIGNED.finditer(raw)}
-    taken = sorted(found)
+    """(start, end, pattern) of each candidate, left to right; an assignment's or address's value wins over a token."""
+    found = {m.span(1): "address" for m in _ADDRESS.finditer(raw)}
+    found |= {m.span(1): "assigned" for m in _ASSIGNED.finditer(raw) if not any(a < m.end(1) and m.start(1) < b for a, b in found)}
+    taken, k = sorted(found), 0
     for m in _TOKEN.finditer(raw):
-        if any(48 <= b <= 57 for b in m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
             found[m.span()] = "token"
     return [(a, b, found[a, b]) for a, b in sorted(found)]
 
@@ -83,7 +89,8 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[bytes, bytes,
             value, name = rng.choice([
                 lambda: ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), ""), lambda: (pick(hexes, rng.choice([18, 20, 32, 40, 64])), "token = \""),
                 lambda: (pick(hexes, rng.randint(12, 24)), "password="), lambda: (pick(alnum, rng.randint(20, 48)), "secret: "),
-                lambda: ("ghp_" + pick(alnum, 36), ""), lambda: (pick(base64, 40), "aws key="), lambda: ("sk-" + pick(alnum, 40), "api_key="), lambda: (pick(alnum + "!#%", rng.randint(9, 18)) + "7", "pwd="),
+                lambda: ("ghp_" + pick(alnum, 36), ""), lambda: (pick(base64, 40), "aws key="), lambda: ("sk-" + pick(alnum, 40), "api_key="), lambda: (pick(alnum, rng.randint(8, 16)) + "7", "DB_PASSWORD=\""), lambda: (word() + pick(string.digits, 2), "\"password\": \""),
+                lambda: (word() + pick(alnum, 4) + "9", "postgres://app:"), lambda: (pick(string.ascii_letters, rng.randint(24, 40)), "client_secret = \""), lambda: (pick(alnum, 12), "client_secret = \""), lambda: (pick(alnum + "!#%", rng.randint(9, 18)) + "7", "pwd="),
             ])()
             before += " " + name
         else:
@@ -92,7 +99,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[bytes, bytes,
                 lambda: (pick(hexes, 40), "commit "), lambda: (pick(hexes, 64), "sha256 checksum: "), lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), "uuid "),
                 lambda: (rng.choice(["changeme", "example", "placeholder", "your-password", "xxxxxxxx", "********", "none", "required"]), "password="),
                 lambda: (word() + word() + word(), "token: "), lambda: (f"{rng.randint(1990, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T10.{pick(string.digits, 4)}", "at "),
-                lambda: (pick(string.digits, rng.randint(16, 22)), "number "), lambda: ("=" * rng.randint(16, 40) + "1", " "), lambda: ("1." + pick(string.digits, 2) + "." + word() + word() + word(), "version "),
+                lambda: (pick(string.digits, rng.randint(16, 22)), "number "), lambda: ("".join(word() for _ in range(rng.randint(3, 7))), " "), lambda: ("/".join(word() for _ in range(5)), "see "), lambda: (word() + word(), "the secret: "), lambda: ("=" * rng.randint(16, 40) + "1", " "), lambda: ("1." + pick(string.digits, 2) + "." + word() + word() + word(), "version "),
             ])()
             before += " " + name
             path = rng.choice([path, "test", "docs/example"])
@@ -100,14 +107,26 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[bytes, bytes,
     return out
 
 
-def word_trigrams(docs: DataFrame, rows: int = 2000) -> frozenset[bytes]:
-    """The dictionary: three-letter sequences of lower-case words, from a bounded sample of ``rows``
-    documents or so (by a hash of the id); the 1500 that make up words most often are kept."""
-    sample = hash_sample(docs.where("text is not null"), "doc_id", rows, docs.count())
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([a-z]{3,})\b"), F.lit(1))).alias("w"))
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("g"))
-    top = grams.groupBy("g").count().orderBy(F.desc("count"), "g").limit(1500).collect()
-    return frozenset(r["g"].encode() for r in top)
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n): how often each three small letters follow each other in one partition, as numbers to base 26."""
+    counts = np.zeros(26**3, dtype=np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            x = np.frombuffer(utf8(text), dtype=np.uint8).astype(np.int32) - 97
+            fits = (x >= 0) & (x < 26)
+            if len(x) > 2:
+                fits = fits[:-2] & fits[1:-1] & fits[2:]
+                counts += np.bincount(((x[:-2] * 26 + x[1:-1]) * 26 + x[2:])[fits], minlength=26**3)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen])], ["g", "n"])
+
+
+def word_trigrams(docs: DataFrame, share: float = 1e-4) -> frozenset[bytes]:
+    """The dictionary: sequences of three small letters that make up ``share`` of all of them or more in all
+    texts; 26^3 at most, counted where the texts are."""
+    counted = docs.select("text").where("text is not null").mapInArrow(_trigrams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
+    total = sum(r["n"] for r in counted)
+    return frozenset(bytes((97 + r["g"] // 676, 97 + r["g"] // 26 % 26, 97 + r["g"] % 26)) for r in counted if r["n"] >= share * total)
 
 
 def train_forest(spark: SparkSession, findings: list[tuple], dictionary: frozenset[bytes], seed: int = 1) -> RandomForestClassificationModel:
