@@ -8,13 +8,15 @@ of their own length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, small_batches, utf8
+from .common import LOWER, discard, materialise, maybe_in, small_batches, text_key, utf8
 
 #: Words of test items in one automaton.  Larger benchmarks take several, one after another.
 AUTOMATON_WORDS = 200_000
@@ -146,26 +148,39 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, a
     ``item_id`` (as strings) of test items with an occurring window.  Null and empty texts have no
     words; items without words match nothing; an item with a null ``item_id`` hits words and is
     not listed.  Repeated items count once, repeated documents are judged alike.  Other columns are
-    kept as they are; a column that is named ``_match`` already is replaced.
+    kept as they are, but for those named ``_match``, ``_key``, ``_spans`` or ``_items``.
 
     The items are broadcast, no more than about ``automaton_words`` words of them at once: their
     number is counted first, and a larger benchmark is dealt by hash over several automata that
-    the documents pass one after the other.
+    the documents pass one after the other; what each finds is written, and joined to the documents that
+    have any.
     """
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-words // (5 * automaton_words)))
     spans, known = F.array().cast("array<int>"), F.array().cast("array<string>")
-    docs = docs.drop("_match")
+    docs = docs.drop("_match", "_key", "_spans", "_items")
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    if parts == 1:
+        shared = broadcast([tuple(r) for r in items.distinct().collect()])
+        return docs.withColumn("_match", F.pandas_udf(_matcher(shared, window), MATCH)("text", spans, known))
+    texts, found = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_of"), "text"), []
     for part in range(parts):
-        if part:
-            docs = materialise(docs, "matches")
-            spans, known = F.col("_match.spans"), F.col("_match.items")
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.distinct().collect()])
-        docs = docs.withColumn("_match", F.pandas_udf(_matcher(shared, window), MATCH)("text", spans, known))
-    return docs
+        shared = broadcast([tuple(r) for r in mine.distinct().collect()])
+        hit = texts.select("_id", "_of", F.pandas_udf(_matcher(shared, window), MATCH)("text", spans, known).alias("_m")).where("_m.n_hit > 0")
+        found.append(materialise(hit.select("_id", "_of", "_m.spans", "_m.items"), "matches"))  # places and items only
+    together = reduce(DataFrame.unionByName, found).distinct().groupBy("_id", "_of").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    together = materialise(together, "matches")  # a row for each part at most
+    discard(*found)
+    columns = docs.columns
+    seen = maybe_in(docs.withColumn("_key", text_key()), ["doc_id", "_key"], together, ["_id", "_of"])
+    here = seen.where("_maybe")
+    here = here.join(together, here["doc_id"].eqNullSafe(F.col("_id")) & (here["_key"] == F.col("_of")), "left").select(*columns, "_spans", "_items")
+    there = seen.where("not _maybe").select(*columns, spans.alias("_spans"), known.alias("_items"))
+    match = F.pandas_udf(_matcher(broadcast([]), window), MATCH)
+    return there.unionByName(here).withColumn("_match", match("text", F.coalesce("_spans", spans), F.coalesce("_items", known))).select(*columns, "_match")
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
