@@ -33,7 +33,7 @@ BROADCAST_ROWS = 100_000
 
 def tables_for(rows: int, threshold: float) -> tuple[int, int]:
     """Bits of a piece and number of tables: pieces grow with the table, so buckets don't."""
-    bits = min(24, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET)) if rows > BUCKET else 4))
+    bits = min(60, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET)) if rows > BUCKET else 4))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
@@ -51,12 +51,12 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
     return np.hstack(out)[:, :bits]
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, dtype=np.float64) for b in raw])
+def _unit(raw: list[bytes], kind: type) -> np.ndarray:
+    x = np.stack([np.frombuffer(b, dtype=kind) for b in raw]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(shared, bits: int, tables: int):
+def _encode(shared, bits: int, tables: int, kind: type = np.float64):
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(vectors: pd.Series) -> pd.Series:
@@ -64,10 +64,10 @@ def _encode(shared, bits: int, tables: int):
         dims = len(rotations)
         out = []
         for v in vectors:
-            x = np.frombuffer(v, dtype=np.float64)
+            x = np.frombuffer(v, dtype=kind).astype(np.float64)
             x = x / np.linalg.norm(x)
             x = np.pad(x, (0, max(0, dims - len(x))))[:dims]  # only finds candidates
-            out.append(((x @ rotations >= 0).reshape(tables, bits) @ weights).astype(np.int32))
+            out.append(((x @ rotations >= 0).reshape(tables, bits) @ weights).astype(np.int64))
         return pd.Series(out, dtype=object)
 
     return run
@@ -93,7 +93,7 @@ def compare(ids: np.ndarray, copies: np.ndarray, units: np.ndarray, codes: np.nd
     return [(ids[i], None, int(links[i])) for i in linked] + [(ids[i], ids[root[i]], None) for i in child]
 
 
-def _compare_units(threshold: float):
+def _compare_units(threshold: float, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
@@ -102,7 +102,7 @@ def _compare_units(threshold: float):
                 return []
             ids, copies, vectors, codes, sides = zip(*held, strict=True)
             sides = np.array(sides)
-            return compare(np.array(ids), np.array(copies), _unit(list(vectors)), np.array(codes), sides, unit[1], threshold)
+            return compare(np.array(ids), np.array(copies), _unit(list(vectors), kind), np.array(codes), sides, unit[1], threshold)
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["a", "b", "links"])
@@ -123,13 +123,14 @@ def _compare_units(threshold: float):
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, label)``.
+    """(vec_id, n_links, component_id, kept) for every ``vec_id`` of ``vectors(vec_id, embedding, label)``, and each row without one.
 
     Only vectors with equal labels (not null) and equal lengths are compared.  Null vectors, those
     without or with zero length, and those with null or non-finite components are linked with
     nothing; so is a row with a null ``vec_id``, whose component is null.  Equal vectors of a label
     are one class that is compared once, so copies cost nothing; ``n_links`` counts each of them.
-    Repeated rows count as one vector and get equal results.  Other columns are not read.  An empty
+    Repeated rows are one vector; of different vectors under one ``vec_id`` the largest number of
+    links and the smallest component count.  Other columns are not read.  An empty
     table gives no rows.
 
     A bucket is cut into blocks of about ``BLOCK`` vectors and pairs of blocks are units of work;
@@ -143,7 +144,8 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (length > 0), F.lit(False))
     keyed = vectors.select("vec_id", "embedding", F.col("label").alias("_label"), usable.alias("usable")).withColumn("h1", F.xxhash64("_label", "embedding"))
     keyed = keyed.withColumn("h2", F.xxhash64(F.lit(17), "embedding", "_label"))
-    packed = F.pandas_udf(lambda column: pd.Series([np.asarray(v, dtype=np.float64).tobytes() for v in column]), "binary")
+    number = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64  # as they came, cosines are worked out in doubles
+    packed = F.pandas_udf(lambda column: pd.Series([np.asarray(v, dtype=number).tobytes() for v in column]), "binary")
     classes = keyed.where("usable").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding"), F.first("_label").alias("_label")
     )
@@ -152,11 +154,11 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFra
 
     rows = classes.count()
     bits, tables = tables_for(rows, threshold)
-    drawn = [np.frombuffer(r["vector"], dtype=np.float64) for r in hash_sample(classes, "node", SAMPLE, rows).select("vector").collect()]
+    drawn = [np.frombuffer(r["vector"], dtype=number).astype(np.float64) for r in hash_sample(classes, "node", SAMPLE, rows).select("vector").collect()]
     dims = max(map(len, drawn), default=1)
     sample = np.stack([np.pad(v / np.linalg.norm(v), (0, dims - len(v))) for v in drawn]) if drawn else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(learn_rotations(sample, bits * tables))
-    coded = classes.select("node", "copies", "kind", "vector", F.pandas_udf(_encode(shared, bits, tables), "array<int>")("vector").alias("codes"))
+    coded = classes.select("node", "copies", "kind", "vector", F.pandas_udf(_encode(shared, bits, tables, number), "array<long>")("vector").alias("codes"))
     coded = materialise(coded, "codes")
     posted = coded.select("node", "kind", F.posexplode("codes").alias("at", "code"))
     heavy = materialise(posted.groupBy("kind", "at", "code").count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"), "heavy")
@@ -168,7 +170,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     entries = entries.withColumn("one", F.least("block", "partner")).withColumn("other", F.greatest("block", "partner"))
     unit = ["kind", "at", "code", "one", "other"]
     entries = entries.select(*unit, "node", "copies", "vector", "codes", "block").repartition(*unit).sortWithinPartitions(*unit)
-    found = materialise(entries.mapInArrow(_compare_units(threshold), "a long, b long, links long"), "links")
+    found = materialise(entries.mapInArrow(_compare_units(threshold, number), "a long, b long, links long"), "links")
 
     links = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     linked = connected_components(found.where("links is null").select("a", "b"))
@@ -176,4 +178,6 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     out = keyed.select("vec_id", "h1", "h2", "usable").join(named, ["h1", "h2"], "left")
     total = F.when(F.col("usable"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     component = F.when(F.col("usable"), F.coalesce("component", "node")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", total.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    each = out.select("vec_id", total.alias("n_links"), component.alias("component_id"))
+    named = each.where("vec_id is not null").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    return named.unionByName(each.where("vec_id is null")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
