@@ -125,3 +125,8 @@ def byte_capped(text: Column, limit: int) -> Column:
 
 def key_digest(token: Column) -> Column:
     return F.sha2(token, 256)
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with its thousands parted by commas."""
+    return F.format_number(n, 0)

@@ -83,3 +83,18 @@ def looks_like_domain(value: Column) -> Column:
 def cache_key(url: Column, params: Column) -> Column:
     """Digests of URL and parameters that name a cached page."""
     return F.concat(F.substring(F.md5(url), 1, 16), F.lit("_"), F.substring(F.md5(params), 1, 12), F.lit(".html"))
+
+
+def start_url(value: Column) -> Column:
+    """An address as it is, a bare domain with scheme and root."""
+    return F.when(value.contains("://"), value).otherwise(F.concat(F.lit("https://"), value, F.lit("/")))
+
+
+def is_homepage(url: Column) -> Column:
+    """A host with or without scheme, and no path but the root."""
+    return url.rlike(r"^(https?://)?[^/]*/?$")
+
+
+def allowed(url: Column, domains: list[str]) -> Column:
+    """Of one of the domains exactly, and not on an ignored path."""
+    return domain_of(url).isin(*domains) & ~ignored_path(path_of(url))

@@ -36,8 +36,8 @@ def merged_usage(before: DataFrame, new: DataFrame) -> DataFrame:
 
 def first_claims(events: DataFrame, keys: list[str]) -> DataFrame:
     """The first event of each combination of keys."""
-    window = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    return events.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("_r")  # combines before the shuffle
+    return events.groupBy(*keys).agg(first).select("_r.*")
 
 
 def stages(events: DataFrame, rank: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -39,8 +39,8 @@ def schema_coverage(pages: DataFrame) -> DataFrame:
 
 def first_of_page(pages: DataFrame) -> DataFrame:
     """One row a page: a start page that is given apart and among the pages counts once."""
-    window = Window.partitionBy("site", "url").orderBy("page_id")
-    return pages.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*pages.columns), "page_id").alias("_r")  # combines before the shuffle
+    return pages.groupBy("site", "url").agg(first).select("_r.*")
 
 
 def canonical_mismatches(pages: DataFrame) -> DataFrame:

@@ -34,21 +34,23 @@ def factor_diff(weights: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame
 def counterfactual(factors: DataFrame, fixes: DataFrame) -> DataFrame:
     """Change of a lens' composite by each fix alone: its factor's score set to the target.
 
-    ``factors(run, factor, score, weight)``, ``fixes(run, fix, factor, target)``.  One join and one
-    aggregation evaluate all fixes; factors without a score are left out and weights renormalised,
-    unless a target above 0 brings the factor in.
+    ``factors(run, factor, score, weight)``, ``fixes(run, fix, factor, target)``.  A run's sums are
+    taken once and each fix changes them by its own factor, so no row is multiplied; factors without a
+    score are left out and weights renormalised, unless a target brings the factor in.  Fixes of
+    an unknown factor are left out; those of one name count together.
     """
-    fixed = F.when(F.col("factor") == F.col("fix_factor"), F.least(F.lit(100.0), F.col("target"))).otherwise(F.col("score"))
-    each = factors.join(fixes.select("run", "fix", F.col("factor").alias("fix_factor"), "target"), "run")
-
-    def composite(score):
-        used = score.isNotNull()
-        mean = F.try_divide(F.sum(F.when(used, score * F.col("weight"))), F.sum(F.when(used, F.col("weight"))))
-        return F.round(F.least(100 * F.pow(mean / 100, F.lit(1.15)), F.lit(100.0)), 1)
-
-    known = F.max((F.col("factor") == F.col("fix_factor")).cast("int")).alias("known")
-    out = each.groupBy("run", "fix").agg(composite(F.col("score")).alias("before"), composite(fixed).alias("after"), known)
-    return out.where("known = 1").select("run", "fix", "before", "after", F.round(F.col("after") - F.col("before"), 1).alias("delta"))
+    used, weight = F.col("score").isNotNull(), F.col("weight").cast("double")
+    own = [F.sum(F.when(used, F.col("score") * weight)).alias("s"), F.sum(F.when(used, weight)).alias("w")]
+    by_factor = factors.groupBy("run", "factor").agg(*own, F.sum(weight).alias("all"))
+    of_run = by_factor.groupBy("run").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("run_s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("run_w"))
+    each = fixes.join(by_factor, ["run", "factor"]).join(of_run, "run")
+    target, none = F.least(F.lit(100.0), F.col("target")), F.lit(0.0)
+    fixed_s = F.col("run_s") - F.coalesce("s", none) + F.coalesce(target * F.col("all"), none)
+    fixed_w = F.col("run_w") - F.coalesce("w", none) + F.when(F.col("target").isNotNull(), F.col("all")).otherwise(none)
+    sums = each.groupBy("run", "fix").agg(*(F.sum(c).alias(n) for n, c in (("a", F.col("run_s")), ("b", F.col("run_w")), ("c", fixed_s), ("d", fixed_w))))
+    composite = lambda s, w: F.round(F.least(100 * F.pow(F.when(F.col(w) > 0, F.col(s) / F.col(w)) / 100, F.lit(1.15)), F.lit(100.0)), 1)
+    out = sums.select("run", "fix", composite("a", "b").alias("before"), composite("c", "d").alias("after"))
+    return out.withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
 
 
 def ranked_fixes(fixes: DataFrame) -> DataFrame:
@@ -57,3 +59,27 @@ def ranked_fixes(fixes: DataFrame) -> DataFrame:
     points = F.col("points")
     rank = F.when(points >= 3, "high").when(points >= 1, "medium").otherwise("low")
     return fixes.where("points is null or points > 0").withColumn("priority", rank).withColumn("place", F.row_number().over(window))
+
+
+def extremes(factors: DataFrame) -> DataFrame:
+    """A run's lowest and highest factor and those without a score; ``factors(run, factor, score)``."""
+    scored = F.col("score").isNotNull()
+    low = F.min(F.when(scored, F.struct("score", "factor")))
+    high = F.max(F.when(scored, F.struct("score", (-F.col("factor")).alias("factor"))))  # of equal scores the first factor
+    missing = F.array_sort(F.collect_list(F.when(~scored, F.col("factor"))))  # the factors of one run
+    out = factors.groupBy("run").agg(low.alias("low"), high.alias("high"), missing.alias("missing"))
+    return out.select("run", F.col("low.factor").alias("lowest"), (-F.col("high.factor")).alias("highest"), "missing")
+
+
+def by_pillar(fixes: DataFrame) -> DataFrame:
+    """The fixes of each run and pillar as a list, best first, those without points last; ``fixes(run, pillar, fix, points)``."""
+    order = F.struct(F.col("points").isNull().alias("none"), (-F.col("points")).alias("points"), F.col("fix").alias("fix"))
+    return fixes.groupBy("run", "pillar").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["fix"]).alias("fixes"))  # the fixes of one run
+
+
+def answer_movement(old: DataFrame, new: DataFrame) -> DataFrame:
+    """How each question's points moved since the run before; ``old`` and ``new(question, points)``."""
+    before = old.select("question", F.col("points").alias("_before"))
+    change = F.col("points") - F.col("_before")
+    moved = F.when(F.col("_before").isNull(), "new").when(change > 0, "improved").when(change < 0, "declined").otherwise("same")
+    return new.join(before, "question", "left").select("question", moved.alias("moved"))

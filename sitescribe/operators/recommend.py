@@ -108,3 +108,14 @@ def contactability(same_domain: Column, third_party: Column, mailto: Column, con
     total = F.when(same_domain, 20).when(third_party, 5).otherwise(0) + p(mailto, 10) + p(contact_page, 10) + p(prominent, 15) + p(contact_point, 15)
     total = total + p(same_as, 10) + p(generic, 10) + p(phone, 10) - p(~mailto, 10) - p(legal_only, 15)
     return F.greatest(F.lit(0), F.least(F.when(same_domain, total).otherwise(F.least(total, F.lit(20))), F.lit(100)))
+
+
+# The structure score below which a page is thin, and the one that a fixed page would have.
+THIN, MENDED = 40, 70
+
+
+def thin_pages(pages: DataFrame) -> DataFrame:
+    """For each site with thin pages the mean score if these were mended; ``pages(site, score)``."""
+    mended = F.when(F.col("score") < THIN, MENDED).otherwise(F.col("score"))
+    out = pages.groupBy("site").agg(F.count_if(F.col("score") < THIN).alias("thin"), F.avg(mended).alias("target"))
+    return out.where("thin > 0")

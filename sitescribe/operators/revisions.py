@@ -20,7 +20,8 @@ def oldest_first():
 
 def latest(runs: DataFrame) -> DataFrame:
     """The newest run of each series."""
-    return runs.withColumn("_n", F.row_number().over(newest_first())).where("_n = 1").drop("_n")
+    newest_run = F.max_by(F.struct(*runs.columns), F.struct("created_at", "run_id")).alias("_r")  # combines before the shuffle
+    return runs.groupBy("series").agg(newest_run).select("_r.*")
 
 
 def newest(runs: DataFrame, k: int) -> DataFrame:

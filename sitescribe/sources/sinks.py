@@ -18,9 +18,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_markdown(pages: DataFrame, path: str) -> None:
-    """One text a page, by host; ``pages(url, markdown)``.  ``file`` names where it belongs."""
+    """One text file a page and folder, ``host=.../file=.../``; ``pages(url, markdown)``."""
     rows = pages.select(U.domain_of(F.col("url")).alias("host"), markdown_path(F.col("url")).alias("file"), "markdown")
-    rows.write.partitionBy("host").json(path)
+    rows.repartition("host", "file").write.partitionBy("host", "file").text(path)
 
 
 def markdown_path(url: Column) -> Column:
@@ -45,9 +45,12 @@ def diff_report(factors: DataFrame) -> DataFrame:
 
 
 def sitemap(urls: DataFrame, limit: int = 500) -> DataFrame:
-    """XML entries of the newest pages of ``urls(loc, lastmod)``."""
+    """One sitemap of the newest pages of ``urls(loc, lastmod)``, ``limit`` of them at most."""
     newest = urls.orderBy(F.desc("lastmod"), "loc").limit(limit)
-    return newest.select(F.to_xml(F.struct("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod")), {"rowTag": "url"}).alias("xml"))
+    entry = F.to_xml(F.struct("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod")), {"rowTag": "url"})
+    entries = newest.agg(F.array_sort(F.collect_list(F.struct((-F.unix_date(F.col("lastmod").cast("date"))).alias("n"), "loc", entry.alias("xml")))).alias("x"))  # of ``limit`` rows
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n')
+    return entries.select(F.concat(head, F.array_join(F.transform("x", lambda x: x["xml"]), "\n"), F.lit("\n</urlset>")).alias("xml"))
 
 
 def pruned(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:

@@ -149,8 +149,8 @@ def test_audits(spark):
 def test_sinks(spark, tmp_path):
     pages = spark.createDataFrame([("https://www.a.b/", "# Hi"), ("https://a.b/c/d", "x")], "url string, markdown string")
     sinks.write_markdown(pages, str(tmp_path / "md"))
-    back = spark.read.json(str(tmp_path / "md"))
-    assert {(r.host, r.file) for r in back.collect()} == {("a.b", "a.b/index.md"), ("a.b", "a.b/c/d.md")}
+    back = spark.read.option("wholetext", True).text(str(tmp_path / "md"))
+    assert {(r.host, r.file, r.value.rstrip("\n")) for r in back.collect() if r.value} == {("a.b", "a.b/index.md", "# Hi"), ("a.b", "a.b/c/d.md", "x")}
     sinks.write_csv(pages, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     sinks.write_json(pages, str(tmp_path / "json"))
@@ -158,7 +158,7 @@ def test_sinks(spark, tmp_path):
     history = spark.createDataFrame([(1, 1, 50.0, None), (1, 2, 55.5, 5.5)], "series int, run_no int, score double, delta double")
     assert sinks.report(history).first().markdown.endswith("| 1 | 50.0 | — |\n| 2 | 55.5 | +5.5 |")
     xml = sinks.sitemap(spark.createDataFrame([("https://a.b/x&y", dt.datetime(2024, 1, 2))], "loc string, lastmod timestamp_ntz")).first().xml
-    assert "https://a.b/x&amp;y" in xml and "2024-01-02" in xml
+    assert "https://a.b/x&amp;y" in xml and "2024-01-02" in xml and xml.startswith("<?xml") and xml.endswith("</urlset>")
 
 
 def test_page_patterns(spark):
