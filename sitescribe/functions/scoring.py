@@ -67,6 +67,28 @@ def profile(bands: list[Column], average: Column) -> Column:
     )
 
 
+# Tone of each profile; what the weakest lens exposes and what to mend first.
+TONES = {
+    "high_invisibility": "critical", "critical_failure": "critical", "broken_in_strong_profile": "serious", "material_risk": "serious", "broad_exposure": "serious",
+    "single_exposure": "moderate", "partial_exposure": "moderate", "developing_with_strong": "limited", "highly_readable": "positive", "strong_profile": "positive",
+    "needs_review": "moderate", "incomplete": "moderate",
+}
+EXPOSURES = {"AEO": "answer structure", "GEO": "machine context", "AAX": "agent experience"}
+FIX_FIRST = {"AEO": "Structured answers", "GEO": "Crawl access + entity consistency", "AAX": "Offer, content, and next-step signals"}
+
+
+def named(key: Column, names: dict[str, str]) -> Column:
+    """The name of each key, null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
+
+
+def published_composite(composite: Column, completed: Column, factors: Column, skip_reasons: Column) -> Column:
+    """A composite that may be shown: none unless the tests were completed and gave factors, and none
+    where a test failed, so that a score never rests on what survived.  ``skip_reasons`` is a map."""
+    failed = F.exists(F.map_values(skip_reasons), lambda r: r.startswith("Test failed"))
+    return F.when(completed & (factors > 0) & ~F.coalesce(failed, F.lit(False)), composite)
+
+
 def generic_label(score: Column) -> Column:
     return F.when(score >= 80, "Strong").when(score >= 60, "Moderate").when(score.isNotNull(), "Weak")
 

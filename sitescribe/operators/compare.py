@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
+
 
 def findings_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Findings (run, finding) that were resolved, are new, or stay.
@@ -83,3 +85,28 @@ def answer_movement(old: DataFrame, new: DataFrame) -> DataFrame:
     change = F.col("points") - F.col("_before")
     moved = F.when(F.col("_before").isNull(), "new").when(change > 0, "improved").when(change < 0, "declined").otherwise("same")
     return new.join(before, "question", "left").select("question", moved.alias("moved"))
+
+
+def interpreted(sites: DataFrame, key: str, lenses: dict[str, Column], texts: dict[str, str], strict: bool = True) -> DataFrame:
+    """Shape, tone, headline and extremes of each site's lens scores.
+
+    ``texts`` gives the headline of each shape; ``{lens}`` in it stands for what the weakest lens
+    exposes.  Where a score is missing the shape is ``incomplete``, without extremes and bands; of
+    equal scores the first lens counts.  Each step is a projection of its own, so that none repeats the
+    expressions of the one before.
+    """
+    names = list(lenses)
+    scored = sites.select(key, *[s.cast("double").alias(f"s_{n}") for n, s in lenses.items()])
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(f"s_{n}").isNotNull()
+    pick = lambda sign: F.array_min(F.array(*[F.struct((sign * F.col(f"s_{n}")).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(names)]))["n"]
+    ends = scored.withColumns({"weakest": F.when(known, pick(1)), "strongest": F.when(known, pick(-1)), **{f"b_{n}": S.band(F.col(f"s_{n}"), strict) for n in names}})
+    bands = [F.col(f"b_{n}") for n in names]
+    mean = sum((F.col(f"s_{n}") for n in names), F.lit(0.0)) / len(names)
+    shaped = ends.withColumn("shape", F.when(known, S.profile(bands, mean)).otherwise("incomplete"))
+    headline = F.replace(S.named(F.col("shape"), texts), F.lit("{lens}"), F.coalesce(S.named(F.col("weakest"), S.EXPOSURES), F.lit("")))
+    return shaped.select(
+        key, "shape", S.named(F.col("shape"), S.TONES).alias("tone"), headline.alias("headline"), "weakest", "strongest",
+        S.named(F.col("weakest"), S.FIX_FIRST).alias("fix_first"), F.when(known, F.concat_ws(",", *[F.initcap(b) for b in bands])).alias("bands"),
+    )

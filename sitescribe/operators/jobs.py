@@ -62,3 +62,28 @@ def budgeted(pages: DataFrame, budget: int, least: int = 500) -> DataFrame:
 def nudge(candidates: list[tuple[str, Column]]) -> Column:
     """The first of ordered candidates that is eligible."""
     return F.coalesce(*[F.when(when, F.lit(name)) for name, when in candidates])
+
+
+def cleared(runs: DataFrame, scores: list[str]) -> DataFrame:
+    """Runs whose failed ones keep no score of an earlier attempt."""
+    failed = F.coalesce(F.col("state") == "failed", F.lit(False))
+    return runs.withColumns({name: F.when(~failed, F.col(name)) for name in scores})
+
+
+def outcomes(runs: DataFrame) -> DataFrame:
+    """An event for each run that ended: ``failed``, ``recheck`` where the series had succeeded before, else
+    ``completed``; ``runs(run_id, series, state, created_at)``, ties in time by id.
+
+    What a run needs of its series is the first success, so the series is reduced to one row instead of
+    being sorted.
+    """
+    at = F.struct("created_at", "run_id")
+    first = runs.where("state = 'succeeded'").groupBy("series").agg(F.min(at).alias("_first"))
+    event = F.when(F.col("state") == "failed", "failed").when(at > F.col("_first"), "recheck").otherwise("completed")
+    return runs.where("state in ('failed', 'succeeded')").join(first, "series", "left").select("run_id", event.alias("event"))
+
+
+def live_sessions(uses: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """Sessions that have not expired: each use at ``at`` moves the end of ``uses(session, at)`` to so many minutes later."""
+    ends = F.max("at") + F.make_interval(mins=F.lit(minutes))
+    return uses.groupBy("session").agg(ends.alias("ends"), F.count("*").alias("uses")).where(F.col("ends") > now)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import BOT_POINTS
+from ..functions.scoring import BOT_POINTS, CONTACT_TYPES, COVERAGE, looked_up
 from .compare import counterfactual, ranked_fixes
 
 Rule = tuple[str, str, Column, Column]
@@ -50,6 +50,65 @@ def geo_rules() -> list[Rule]:
     return rules
 
 
+# Points of each contact signal, the cap without an address of the site's own domain,
+# and what a fix adds besides lifting its penalty.
+CONTACT_SIGNALS = {"has_email": 20, "has_mailto": 10, "has_contact_page": 10, "has_social_links": 10, "has_contact_point": 15}
+DOMAIN_CAP, OWN_ADDRESS_FOR_OTHERS, LISTED = 20, 15, 15
+
+
+def actionable_rules() -> list[Rule]:
+    """Rules for what agents make of a site; a factor without a score ``s_<factor>`` gets no fix.
+
+    Signals: ``home_missing`` of four identity fields, ``facts`` that buyers miss, ``coverage_word``,
+    ``essentials_missing`` of five, ``suggestions`` for metadata, ``click, meta_complete, meta_clear``,
+    ``contacts`` (types of the valid ones), ``confidence``, the contact signals, and the points that
+    penalties took: ``lost_domain, lost_obfuscated, lost_legal`` (null where none applies).
+    """
+    c, score = F.col, lambda factor: F.col(f"s_{factor}")
+    word = lambda name, default: F.coalesce(c(name), F.lit(default))
+    home, delta, meta, mail = score("homepage_comprehension"), score("content_delta"), score("meta_optimization"), score("email_validation")
+    types = F.coalesce("contacts", F.array().cast("array<string>"))
+    confirmed = (F.size(types) > 0) & (word("confidence", "low") != "low")
+    best = F.array_max(F.transform(types, lambda t: looked_up(t, CONTACT_TYPES, 0)))
+    missing_fact = 0.3 * (100 - looked_up(word("coverage_word", "incomplete"), COVERAGE, 20))
+    weak_meta = ~F.coalesce("click", F.lit(False)) | (word("meta_complete", "minimal") == "minimal") | (word("meta_clear", "unclear") == "unclear")
+    on = lambda factor, when: factor.isNotNull() & F.coalesce(when, F.lit(False))
+    return [
+        ("homepage_comprehension", "make the homepage clear", on(home, c("home_missing") > 0), home + 10 * c("home_missing")),
+        ("content_delta", "state missing facts", on(delta, c("facts") > 0), delta + missing_fact),
+        ("content_delta", "state missing essentials", on(delta, c("essentials_missing") > 0), delta + 8 * c("essentials_missing")),
+        ("meta_optimization", "write better metadata", on(meta, (c("suggestions") > 0) | weak_meta), meta + 25),
+        ("email_validation", "give valid addresses", on(mail, ~confirmed), mail + 50),
+        ("email_validation", "give an address for sales", on(mail, confirmed & (best < CONTACT_TYPES["sales"])), mail + CONTACT_TYPES["sales"] - best + F.when(F.size(types) == 1, 10).otherwise(0)),
+        *_contact_rules(),
+    ]
+
+
+def _contact_rules() -> list[Rule]:
+    """A fix for each penalty, and one for all missing signals that no penalty's fix brings.  The cap
+    holds until the fix for the domain lifts it; other penalties hold until theirs does."""
+    lost = {name: F.col(f"lost_{name}") for name in ("domain", "obfuscated", "legal")}
+    uncapped = F.coalesce("s_contactability", F.lit(0.0)) + F.coalesce(lost["domain"], F.lit(0.0))
+    capped = lambda x: F.when(lost["domain"].isNotNull(), F.least(x, F.lit(float(DOMAIN_CAP)))).otherwise(x)
+    have = {name: F.coalesce(name, F.lit(False)) for name in CONTACT_SIGNALS}
+    covered = {"has_email": lost["domain"].isNotNull(), "has_mailto": lost["obfuscated"].isNotNull()}
+    gain = sum((F.when(~have[name] & ~covered.get(name, F.lit(False)), n).otherwise(0) for name, n in CONTACT_SIGNALS.items()), F.lit(0))
+    own = F.when(have["has_email"], OWN_ADDRESS_FOR_OTHERS).otherwise(CONTACT_SIGNALS["has_email"])
+    return [
+        ("contactability", "publish an address of the own domain", lost["domain"].isNotNull(), uncapped + own),
+        ("contactability", "make an address clickable", lost["obfuscated"].isNotNull(), capped(uncapped + CONTACT_SIGNALS["has_mailto"] + lost["obfuscated"])),
+        ("contactability", "publish an address outside legal pages", lost["legal"].isNotNull(), capped(uncapped + LISTED + lost["legal"])),
+        ("contactability", "add contact signals", gain > 0, capped(uncapped + gain)),
+    ]
+
+
+def guidance(title: Column, exact: dict[str, str], prefixes: dict[str, str]) -> Column:
+    """What to do about a fix: by its whole title, else by the first prefix that fits, else nothing."""
+    whole = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]) if exact else F.create_map().cast("map<string,string>")
+    starts = [F.when(title.startswith(prefix), F.lit(text)) for prefix, text in prefixes.items()]
+    return F.coalesce(F.try_element_at(whole, title), *starts, F.lit(""))
+
+
 def proposed(sites: DataFrame, rules: list[Rule], key: str = "site") -> DataFrame:
     """(run, fix, factor, target) for each rule whose condition holds; an unknown condition doesn't."""
     stacked = F.array(*[
