@@ -16,6 +16,8 @@ from .lm_scoring import text_scores
 from .mixing import mixed
 from .ngram_jaccard import ngram_jaccard_components
 from .quality_knn import fit_quality, held_out, quality_scores
+from .queries_11_13 import ORACLES as LATER_ORACLES
+from .queries_11_13 import QUERIES as LATER_QUERIES
 from .secret_scan import labelled_findings, scanned, train_forest, word_trigrams
 from .url_filter import judged
 
@@ -197,3 +199,5 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_line_dedup": op5_line_dedup, "op6_url_filter": op6_url_filter, "op7_html_text": op7_html_text, "op8_embedding_dedup": op8_embedding_dedup, "op9_quality_knn": op9_quality_knn, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op2_lm_scoring": OP2_SQL, "op8_embedding_dedup": OP8_SQL, "op3_mixing": OP3_SQL, "op1_ngram_jaccard": OP1_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES |= LATER_QUERIES
+ORACLES |= LATER_ORACLES
