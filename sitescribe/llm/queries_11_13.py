@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .hard_negatives import hard_negatives
+from .spelling import spelling_variants
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +31,43 @@ FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_sc
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
 """
 
-QUERIES = {"op13_hard_negatives": op13_hard_negatives}
-ORACLES = {"op13_hard_negatives": OP13_SQL}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), one_in=97)
+
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The table of crc32 is built from its polynomial, bit by bit.
+_STEP = "list_transform({0}, lambda c: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+_TABLE = "list_transform(range(256), lambda b: CAST(b AS BIGINT))"
+for _ in range(8):
+    _TABLE = _STEP.format(_TABLE)
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_TABLE} AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+), each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+    ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), 128 + unicode(c) % 64] END)) AS b FROM each
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) AS h FROM bytes, crc
+), seen AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM seen WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), keys AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS k FROM places
+), longer AS (SELECT DISTINCT keys.word AS a, words.word AS b FROM keys JOIN words ON keys.k = words.word
+), near AS (
+  SELECT x.word AS a, y.word AS b FROM keys x JOIN keys y ON x.k = y.k AND x.i = y.i AND x.word <> y.word UNION SELECT a, b FROM longer UNION SELECT b, a FROM longer
+), best AS (
+  SELECT a AS word, CAST(count(*) AS BIGINT) AS n_near, arg_min(b, (-words.n, b)) AS b, max(words.n) AS m FROM near JOIN words ON near.b = words.word GROUP BY a
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)
+), chains(word, last, steps) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT c.word, f.form, steps + 1 FROM chains c JOIN formed f ON c.last = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(last, steps) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+QUERIES = {"op12_spelling_variants": op12_spelling_variants, "op13_hard_negatives": op13_hard_negatives}
+ORACLES = {"op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
