@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_windows import END, MARK, MARK_TOKENS, SEGMENT, TOKEN, chat_windows, read_back
 from .common import table
 from .hard_negatives import hard_negatives
 from .spelling import spelling_variants
@@ -31,6 +32,56 @@ FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_sc
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
 """
 
+#: Tokens of a window, and of what it repeats.
+BUDGET, HISTORY = 1024, 256
+ODD = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the windows of each conversation, and of one that says control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"))
+    read = read_back(chat_windows(rows.unionByName(odd), BUDGET, HISTORY))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    each = read.select("conv_id", "start", F.size("turns").alias("n"), said.alias("said"), "learned", F.length("text").alias("n_chars"))
+    # A digest runs over a conversation from its first to its last window.
+    whole = each.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("n_chars").cast("long").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("start", "said", "learned"))).alias("w"))
+    joined = lambda name: F.array_join(F.col(f"w.{name}"), "")
+    digest = lambda name: F.sha2(joined(name).cast("binary"), 256)
+    return whole.select(
+        "conv_id", "n_turns", digest("said").alias("turns_sha256"), F.length(joined("learned")).cast("long").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars"
+    )
+
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '##', '#\\#'), '</turn>', '<\\/turn>')"
+OP11_SQL = f"""
+WITH RECURSIVE every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{ODD}' UNION ALL SELECT -7, 1, 'assistant', '{ODD}'
+), turns AS (
+  SELECT *, len(regexp_extract_all(text, '{TOKEN}')) + {MARK_TOKENS} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+    {len(MARK) + 1 + len(END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS chars FROM every
+), heads AS (SELECT conv_id, tokens AS head, chars AS head_chars FROM turns WHERE i = 1 AND role = 'system'
+), said AS (
+  SELECT t.*, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k, greatest({BUDGET - HISTORY} - coalesce(head, 0), 1) AS room,
+    CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS b, b - tokens AS a, a // (room * {SEGMENT}) AS segment
+  FROM turns t LEFT JOIN heads USING (conv_id) WHERE NOT (i = 1 AND role = 'system')
+), packed AS (
+  SELECT conv_id, k, segment, a AS w FROM said WHERE k = 1
+  UNION ALL
+  SELECT s.conv_id, s.k, s.segment, CASE WHEN s.segment <> p.segment OR s.b - p.w > room THEN s.a ELSE p.w END FROM packed p JOIN said s ON s.conv_id = p.conv_id AND s.k = p.k + 1
+), windows AS (SELECT DISTINCT conv_id, w FROM packed UNION SELECT conv_id, 0 FROM heads
+), lengths AS (
+  SELECT conv_id, sum(chars) AS n FROM said GROUP BY conv_id
+  UNION ALL SELECT conv_id, head_chars FROM windows JOIN heads USING (conv_id)
+  UNION ALL SELECT conv_id, sum(chars) FROM windows JOIN said USING (conv_id) WHERE b <= w AND a >= w - {HISTORY} GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM whole JOIN lengths USING (conv_id) GROUP BY ALL
+"""
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), one_in=97)
 
@@ -69,5 +120,5 @@ WITH RECURSIVE crc AS (SELECT {_TABLE} AS t
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
 """
 
-QUERIES = {"op12_spelling_variants": op12_spelling_variants, "op13_hard_negatives": op13_hard_negatives}
-ORACLES = {"op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+QUERIES = {"op11_chat_windows": op11_chat_windows, "op12_spelling_variants": op12_spelling_variants, "op13_hard_negatives": op13_hard_negatives}
+ORACLES = {"op11_chat_windows": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
