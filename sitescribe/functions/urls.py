@@ -55,6 +55,31 @@ def origin_prefix(url: Column) -> Column:
     return F.concat(head, F.regexp_replace(path_of(url), "/+$", ""))
 
 
+def without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments worked out."""
+    parts = F.split(path, "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(kept, ends), "/")
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """``href`` against ``base`` by RFC 3986; an address with a scheme stays as it is."""
+    scheme, head = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    path, tail = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path_of(base), "[^/]*$", "")
+    same = F.concat(head, F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1))
+    return (
+        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(path.startswith("/"), F.concat(head, without_dots(path), tail))
+        .when(path != "", F.concat(head, without_dots(F.concat(folder, path)), tail))
+        .when(tail.startswith("?"), F.concat(same, tail))
+        .otherwise(F.concat(same, F.when(query_of(base) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query_of(base))), tail))
+    )
+
+
 def same_origin_prefix(url: Column, origin: Column) -> Column:
     """``url`` begins with ``origin`` and goes on with nothing or a slash."""
     rest = F.substring(url, F.length(origin) + 1, F.lit(1))

@@ -254,11 +254,20 @@ def robots_status(files: DataFrame, bots: list[str] = BOTS) -> DataFrame:
     return out.select("site", "bot", F.when(used["all"], "blocked").when(used["some"], "partially_restricted").otherwise("allowed").alias("status"))
 
 
-def sitemap_urls(files: DataFrame) -> DataFrame:
-    """(source, kind, loc) from ``files(source, xml)``: children of an index, or pages.  Bad XML gives none."""
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """(source, kind, position, loc) from ``files(source, xml)``: children of an index, or pages, in order.
+
+    Addresses are resolved against their file's; empty ones and bad XML give none.
+    """
     good = files.where(F.col("xml").rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<(\w+:)?(sitemapindex|urlset)\b") & F.col("xml").rlike(r"(?s)</(\w+:)?(sitemapindex|urlset)>\s*$"))
     kind = F.when(F.col("xml").rlike(r"<(\w+:)?sitemapindex\b"), "sitemap").otherwise("page")
-    return good.select("source", kind.alias("kind"), F.explode(F.expr("""xpath(xml, '//*[local-name()="loc"]/text()')""")).alias("loc")).withColumn("loc", F.trim("loc"))
+    named = F.filter(F.transform(F.expr("""xpath(xml, '//*[local-name()="loc"]/text()')"""), lambda x: F.trim(x)), lambda x: x != "")
+    return good.select("source", kind.alias("kind"), F.posexplode(named).alias("position", "loc")).withColumn("loc", U.resolved(F.col("loc"), F.col("source")))
+
+
+def sitemap_urls(files: DataFrame) -> DataFrame:
+    """(source, kind, loc) of ``sitemap_entries``."""
+    return sitemap_entries(files).drop("position")
 
 
 def llms_file(candidates: DataFrame) -> DataFrame:
