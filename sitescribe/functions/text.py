@@ -63,8 +63,18 @@ def truncated(text: Column, limit: int = 200) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    slug = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9.\\-]+", "-")
-    return F.substring(F.regexp_replace(slug, "^-+|-+$", ""), 1, 80)
+    """Letters, digits, dots and hyphens, neither of the latter at an end; ``site`` where nothing is left."""
+    slug = F.regexp_replace(F.lower(F.when(F.coalesce(name, F.lit("")) == "", F.lit("site")).otherwise(name)), "[^a-z0-9.\\-]+", "-")
+    short = F.substring(F.regexp_replace(slug, "^[.\\-]+|[.\\-]+$", ""), 1, 80)
+    return F.when(short == "", F.lit("site")).otherwise(short)
+
+
+def markdown_spacing(text: Column) -> Column:
+    """Links on lines of their own where they touch, blanks about them, and no more than one empty line."""
+    out = F.replace(text, F.lit(")["), F.lit(")\n["))
+    out = F.regexp_replace(out, r"\)([^\s\[\])])", ") $1")
+    out = F.regexp_replace(out, r"([^\s(\[!])\[(?!\()", "$1 [")
+    return F.regexp_replace(out, "\n{3,}", "\n\n")
 
 
 def markdown_cell(text: Column) -> Column:
@@ -87,7 +97,8 @@ def elapsed_text(seconds: Column) -> Column:
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    s = F.unix_timestamp(now) - F.unix_timestamp(then)
+    """How long ago ``then`` was; a time to come is now."""
+    s = F.greatest(F.unix_timestamp(now) - F.unix_timestamp(then), F.lit(0))
     ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
     return F.when(s < 60, ago(s, "s ago")).when(s < 3600, ago(s / 60, "m ago")).when(s < 86400, ago(s / 3600, "h ago")).otherwise(ago(s / 86400, "d ago"))
 

@@ -6,106 +6,99 @@ One Arrow UDF reads each page once and returns a struct; what can be told from t
 
 from __future__ import annotations
 
-import difflib
 import json
-from html.parser import HTMLParser
-from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
+import re
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import page_tree as T
 from ..functions import text as X
 from ..functions import urls as U
 
 FEATURES = """title string, canonical string, meta map<string,string>, jsonld array<string>, headings array<struct<level:int,text:string>>,
   links array<struct<href:string,text:string>>, images_total int, images_with_alt int, counts map<string,int>, markdown string, visible string"""
 
-# Elements without text, elements that are left out, tags that are counted, and first words of addresses to skip.
-HIDDEN = ("script", "style", "noscript", "template", "head")
-NOISE = ("nav", "footer", "header", "aside")
+# Tags that are counted, and first words of addresses to skip.
 COUNTED = ("p", "ul", "ol", "table", "pre", "code")
 SKIPPED_LINKS = ("#", "mailto:", "javascript:", "tel:", "data:")
-BLOCKS = ("p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "pre", "blockquote")
-
-
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title, self.canonical, self.meta, self.jsonld, self.headings, self.links = "", None, {}, [], [], []
-        self.images = self.described = 0
-        self.counts = dict.fromkeys(COUNTED, 0)
-        self.stack: list[str] = []
-        self.markdown: list[str] = []
-        self.visible: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag in self.counts:
-            self.counts[tag] += 1
-        if tag == "meta" and (name := a.get("name") or a.get("property")):
-            self.meta.setdefault(name.lower(), a.get("content", "").strip())
-        elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
-            self.canonical = self.canonical or a.get("href")
-        elif tag == "img":
-            pixel = a.get("width") in ("0", "1") or a.get("height") in ("0", "1")
-            if not pixel and a.get("role") != "presentation" and a.get("aria-hidden") != "true" and not a.get("src", "").startswith("data:"):
-                self.images += 1
-                self.described += bool(a.get("alt", "").strip())
-        elif tag == "a":
-            self.links.append([a.get("href", ""), ""])
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.headings.append([int(tag[1]), ""])
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            tag = "jsonld"
-            self.jsonld.append("")
-        if tag in BLOCKS:
-            self._put("\n\n" + ("#" * int(tag[1]) + " " if tag[0] == "h" and tag[1:].isdigit() else "- " if tag == "li" else ""), " ")
-        if tag not in ("meta", "link", "img", "br", "hr", "input", "source", "wbr"):
-            self.stack.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        names = ("jsonld", "script") if tag == "script" else (tag,)
-        if any(x in names for x in self.stack):
-            while self.stack.pop() not in names:
-                pass
-        if tag in BLOCKS:
-            self._put("\n\n", " ")
-
-    def _put(self, mark: str, plain: str) -> None:
-        if not any(x in HIDDEN or x == "jsonld" for x in self.stack):
-            self.visible.append(plain)
-            if not any(x in NOISE for x in self.stack):
-                self.markdown.append(mark)
-
-    def handle_data(self, data: str) -> None:
-        if "title" in self.stack:
-            self.title += data
-        if self.stack and self.stack[-1] == "jsonld":
-            self.jsonld[-1] += data
-        if self.headings and any(x[0] == "h" and x[1:].isdigit() for x in self.stack):
-            self.headings[-1][1] += data
-        if self.links and "a" in self.stack:
-            self.links[-1][1] += data
-        self._put(data, data)
-
-
-def _features(pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for html in pages:
-        p = _Page()
-        p.feed(html or "")
-        p.close()
-        blocks = [" ".join(b.split()) for b in "".join(p.markdown).split("\n\n")]
-        headings = [{"level": n, "text": " ".join(t.split())[:200] + ("…" if len(" ".join(t.split())) > 200 else "")} for n, t in p.headings if t.strip()]
-        links = [{"href": h, "text": " ".join(t.split())} for h, t in p.links]
-        rows.append((" ".join(p.title.split()), p.canonical, p.meta, p.jsonld, headings, links, p.images, p.described, p.counts, "\n\n".join(b for b in blocks if b), " ".join("".join(p.visible).split())))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _short(text: str, most: int = 200) -> str:
+    return text[:most] + "…" if len(text) > most else text
+
+
+def _pictured(e: T.Element) -> bool:
+    """An image that is part of the content: no pixel, no decoration, no inline data."""
+    a = e.attributes
+    pixel = a.get("width") in ("0", "1") or a.get("height") in ("0", "1")
+    return not pixel and a.get("role") != "presentation" and a.get("aria-hidden") != "true" and not a.get("src", "").startswith("data:")
+
+
+def page_features(html: str | None, url: str | None = None) -> tuple:
+    """What ``FEATURES`` names, from one parse of a page."""
+    root = T.parsed(html)
+    title, canonical, meta, jsonld, headings, links, visible = None, None, {}, [], [], [], []
+    images = described = hidden = drawn = 0
+    counts = dict.fromkeys(COUNTED, 0)
+    for kind, x in T.events(root):
+        if kind == "text":
+            if not hidden:
+                visible.append(x)
+            continue
+        hidden += (x.tag in T.HIDDEN) * (1 if kind == "begin" else -1)
+        drawn += (x.tag == "svg") * (1 if kind == "begin" else -1)
+        if x.tag in T.BLOCKS or x.tag == "br":
+            visible.append(" ")
+        if kind == "end":
+            continue
+        a = x.attributes
+        if x.tag in counts:
+            counts[x.tag] += 1
+        if x.tag == "title" and title is None and not drawn:
+            title = T.text_of(x)
+        elif x.tag == "meta" and (name := a.get("name") or a.get("property")):
+            meta.setdefault(name.lower(), a.get("content", "").strip())
+        elif x.tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            canonical = canonical or a.get("href")
+        elif x.tag == "img" and _pictured(x):
+            images += 1
+            described += bool(a.get("alt", "").strip())
+        elif x.tag == "a":
+            links.append({"href": a.get("href", ""), "text": T.text_of(x)})
+        elif x.tag in HEADINGS and (text := T.text_of(x)):
+            headings.append({"level": int(x.tag[1]), "text": _short(text)})
+        elif x.tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            jsonld.append("".join(c for c in x.children if isinstance(c, str)))
+    return title or "", canonical, meta, jsonld, headings, links, images, described, counts, T.markdown(root, url or ""), " ".join("".join(visible).split())
+
+
+def _features(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    rows = [page_features(h, u) for h, u in zip(html, url, strict=True)]
     return pd.DataFrame(rows, columns=["title", "canonical", "meta", "jsonld", "headings", "links", "images_total", "images_with_alt", "counts", "markdown", "visible"])
 
 
 def with_features(pages: DataFrame) -> DataFrame:
-    """``pages`` and a struct ``f`` of features; the parser runs once a page."""
-    return pages.withColumn("f", F.pandas_udf(_features, FEATURES)("html"))
+    """``pages(url, html)`` and a struct ``f`` of features; the parser runs once a page."""
+    out = pages.withColumn("f", F.pandas_udf(_features, FEATURES)("html", "url"))
+    return out.withColumn("f", F.col("f").withField("markdown", X.markdown_spacing(F.col("f.markdown"))))
+
+
+def content_metrics(features: Column) -> Column:
+    """Words, paragraphs, lists, tables, code blocks and images of a page; without paragraphs its blocks of text count."""
+    blocks = F.filter(F.split(features["markdown"], r"\n\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|\||```)"))
+    count = lambda *tags: sum((F.coalesce(F.element_at(features["counts"], t), F.lit(0)) for t in tags), F.lit(0))
+    written = features["markdown"] != ""
+    return F.struct(
+        X.words(F.when(written, features["markdown"]).otherwise(features["visible"])).alias("words"),
+        F.when((count("p") == 0) & written, F.size(blocks)).otherwise(count("p")).alias("paragraphs"), count("ul", "ol").alias("lists"), count("table").alias("tables"),
+        count("pre", "code").alias("code_blocks"), features["images_total"].alias("images_total"), features["images_with_alt"].alias("images_with_alt"),
+        F.size(features["headings"]).alias("headings"), F.size(F.filter(features["headings"], lambda x: x["level"] == 1)).alias("h1_count"),
+        F.coalesce(F.array_max(F.transform(features["headings"], lambda x: x["level"])), F.lit(0)).alias("depth"),
+    )
 
 
 def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
@@ -141,25 +134,56 @@ def classified_links(pages: DataFrame, ignored: list[str]) -> DataFrame:
     return inside.unionByName(outside.select("page_id", F.lit("ext").alias("kind"), F.col("to").alias("target"))).distinct()
 
 
+# How the signs of an address are spelled, in brackets or as words.
+SPELLED = {"at": "@", "dot": "."}
+BRACKETED = re.compile(r"[(\[{]\s*(at|dot)\s*[)\]}]", re.IGNORECASE)
+ADDRESS = re.compile(X.EMAIL)
+
+
+def respelled(text: str) -> str:
+    """``text`` with addresses put together, by one scan over its words.
+
+    A sign in brackets counts wherever it stands, a bare word between two others: ``at`` only before a word without
+    an at sign, so that prose about an address stays.  A sign that stands alone joins its neighbours; a
+    dot only behind what has an at sign and is no whole address yet.
+    """
+    words = BRACKETED.sub(lambda m: SPELLED[m[1].lower()], text).split()
+    done: list[str] = []
+    at, spelled = 0, False
+    while at < len(words):
+        word, following = words[at], words[at + 1] if at + 1 < len(words) else ""
+        sign, bare = word, SPELLED.get(word.lower())
+        if bare and done and following and not spelled and (bare == "." or "@" not in following):
+            sign = bare
+        spelled = sign != word
+        starts = following[:1].isalnum() or following[:1] == "_"
+        head, _, tail = (done[-1] if done else "").rpartition("@")
+        ends = bool(done) and (done[-1][-1].isalnum() or done[-1][-1] == "_")
+        if sign == "@" and ends and starts or sign == "." and head and tail and starts and not ADDRESS.fullmatch(done[-1]):
+            done[-1] += sign + following
+            at, spelled = at + 2, False
+            continue
+        done.append(sign)
+        at += 1
+    return " ".join(done)
+
+
 def deobfuscated(text: Column) -> Column:
     """``[at]``, ``(dot)`` and bare at/dot turned to their signs; spaces about them taken out of addresses."""
-    out = F.regexp_replace(text, r"(?i)[\[({]\s*at\s*[\])}]", "@")
-    out = F.regexp_replace(out, r"(?i)[\[({]\s*dot\s*[\])}]", ".")
-    out = F.regexp_replace(out, r"(?i)(?<=\S)\s+at\s+(?=[^\s@]+(?:\s|$))", " @ ")
-    out = F.regexp_replace(out, r"(?i)(?<=\S)\s+dot\s+(?=\S)", " . ")
-    for _ in range(4):  # a name, and a domain of up to four dots
-        out = F.regexp_replace(out, r"(\w)\s+@\s+(\w)", "$1@$2")
-        out = F.regexp_replace(out, r"(?<!\S)(?!" + X.EMAIL + r"\s)(\S+@\S+)\s+\.\s+(\w)", "$1.$2")
-    return out
+    return F.pandas_udf(lambda texts: texts.map(respelled, na_action="ignore"), "string")(text)
 
 
-def _mailto(hrefs: pd.Series) -> pd.Series:
-    return pd.Series([[a.strip().lower() for h in row if h.lower().startswith("mailto:") for a in unquote(h[7:].split("?")[0]).replace(";", ",").split(",") if a.strip()] for row in hrefs], dtype=object)
+def mailto_addresses(hrefs: Column) -> Column:
+    """Addresses that mailto links name, lower-cased; several are parted by commas or semicolons."""
+    named = F.filter(hrefs, lambda h: F.lower(h).startswith("mailto:"))
+    raw = lambda h: F.substring_index(F.substring(h, F.lit(8), F.length(h)), "?", 1)
+    plain = lambda h: F.coalesce(F.try_url_decode(F.replace(raw(h), F.lit("+"), F.lit("%2B"))), raw(h))
+    return F.filter(F.transform(F.flatten(F.transform(named, lambda h: F.split(plain(h), "[;,]"))), lambda a: F.lower(F.trim(a))), lambda a: a != "")
 
 
 def found_emails(pages: DataFrame) -> DataFrame:
     """(page_id, email, found_as): valid addresses and the sorted ways in which each was found."""
-    sets = pages.select("page_id", F.pandas_udf(_mailto, "array<string>")("f.links.href").alias("mailto"), X.emails(F.col("f.visible")).alias("text"), X.emails(deobfuscated(F.col("f.visible"))).alias("all"))
+    sets = pages.select("page_id", mailto_addresses(F.col("f.links.href")).alias("mailto"), X.emails(F.col("f.visible")).alias("text"), X.emails(deobfuscated(F.col("f.visible"))).alias("all"))
     sets = sets.withColumn("obfuscated", F.array_except("all", "text"))
     each = [sets.select("page_id", F.explode(k).alias("email"), F.lit(k).alias("k")) for k in ("mailto", "text", "obfuscated")]
     rows = each[0].unionByName(each[1]).unionByName(each[2]).where(F.col("email").rlike("^" + X.EMAIL + "$") & X.is_valid_email(F.col("email")))
@@ -274,13 +298,3 @@ def llms_file(candidates: DataFrame) -> DataFrame:
     """The first valid file of each site and kind from ``candidates(site, kind, place, text)``; HTML is none."""
     valid = candidates.where((F.trim(F.coalesce("text", F.lit(""))) != "") & ~F.lower(F.trim(F.col("text"))).rlike(r"^(<!doctype|<html)"))
     return valid.groupBy("site", "kind").agg(F.substring(F.min_by("text", "place"), 1, 500).alias("preview"))
-
-
-def _diffs(before: pd.Series, after: pd.Series) -> pd.Series:
-    both = zip(before.fillna(""), after.fillna(""), strict=True)
-    return pd.Series(["\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), "before", "after", lineterm="", n=3)) for a, b in both], dtype=object)
-
-
-def unified_diff(before: str, after: str) -> Column:
-    """Line diff with three lines of context."""
-    return F.pandas_udf(_diffs, "string")(before, after)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract
+from ..operators import extract, line_diff
+from ..sources.scratch import scratch_path
 from ..sources.tables import read
 from ..streaming import twins
 from .page_queries import ORACLES, QUERIES, query
@@ -57,14 +55,16 @@ def page_organisations(spark, sf_dir):
 
 @query()
 def turn_diffs(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations")
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_before"))
-    return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", extract.unified_diff("_before", "text").alias("diff"))
+    """Each turn against the one before it, sentence by sentence."""
+    broken = F.regexp_replace("text", r"([.!?]) ", "$1\n")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", X.byte_capped(broken, 200_000).alias("after"))
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("after").alias("before"))
+    pairs = rows.join(before, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("id"), "before", "after")
+    return line_diff.unified(line_diff.line_diff(pairs)).select("id.conv_id", "id.turn", "diff")
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitescribe-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return scratch_path(spark, "streams")
 
 
 @query("SELECT user_id, CAST(date_trunc('hour', ts) AS VARCHAR) AS start, count(*) AS n FROM events GROUP BY ALL")

@@ -174,7 +174,7 @@ def most_common_title(spark, sf_dir):
 
 
 @query(f"""SELECT page_id, CASE WHEN length(title) > 40 THEN substr(title, 1, 40) || '…' ELSE title END AS title,
-  substr(regexp_replace(regexp_replace(lower(site), '[^a-z0-9.\\-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS filename FROM ({TITLES})""")
+  CASE WHEN trim(regexp_replace(lower(site), '[^a-z0-9.\\-]+', '-', 'g'), '.-') = '' THEN 'site' ELSE left(trim(regexp_replace(lower(site), '[^a-z0-9.\\-]+', '-', 'g'), '.-'), 80) END AS filename FROM ({TITLES})""")
 def page_labels(spark, sf_dir):
     return titles(spark, sf_dir).select("page_id", X.truncated(F.col("title"), 40).alias("title"), X.safe_filename(F.col("site")).alias("filename"))
 

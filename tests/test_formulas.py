@@ -83,7 +83,7 @@ def test_texts(spark):
     assert values(spark, ["max_pages_reached", "max_pages", "", None], X.friendly_reason) == ["Max pages reached", "Max Pages", "N/A", "N/A"]
     assert values(spark, ["crawl blocked: 403", "cancelled_by_user", "boom", None], X.public_error_label)[2:] == ["Analysis failed", ""]
     assert values(spark, [5.0, 65.0], X.elapsed_text) == ["5s", "1m 5s"]
-    assert values(spark, ["Ä b/C.d", None], X.safe_filename) == ["b-c.d", ""]
+    assert values(spark, ["Ä b/C.d", None, ".Example.com.", "-.-"], X.safe_filename) == ["b-c.d", "site", "example.com", "site"]
     assert values(spark, ["éé", "abc", "aé"], lambda x: X.byte_capped(x, 2)) == ["é", "ab", "a"]
     assert values(spark, ["a|b\n c"], X.markdown_cell) == ["a\\|b c"]
 

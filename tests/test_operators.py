@@ -68,11 +68,6 @@ def test_llms_file(spark):
     assert [(r.site, len(r.preview)) for r in got] == [("a", 500)]
 
 
-def test_unified_diff(spark):
-    got = spark.createDataFrame([("a\nb\nc", "a\nx\nc"), (None, None)], "p string, q string").select(extract.unified_diff("p", "q").alias("d")).collect()
-    assert "-b\n+x" in got[0].d and got[1].d == ""
-
-
 def test_walk(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (4, 5), (9, 9)], "src long, dst long")
     got = {r.page_id: r.depth for r in frontier.walk(edges, spark.createDataFrame([(1,)], "page_id long"), 2).collect()}
