@@ -27,8 +27,8 @@ def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
 
 
 def calibrated(mean: Column) -> Column:
-    """The power curve of composites, capped and rounded."""
-    return F.round(F.least(100 * F.pow(mean / 100, F.lit(EXPONENT)), F.lit(100.0)), 1)
+    """The power curve of composites, capped and rounded; null stays null."""
+    return F.when(mean.isNotNull(), F.round(F.least(100 * F.pow(mean / 100, F.lit(EXPONENT)), F.lit(100.0)), 1))
 
 
 def rating(lens: str, score: Column) -> Column:

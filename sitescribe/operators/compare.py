@@ -50,7 +50,7 @@ def counterfactual(factors: DataFrame, fixes: DataFrame) -> DataFrame:
     fixed_s = F.col("run_s") - F.coalesce("s", none) + F.coalesce(target * F.col("all"), none)
     fixed_w = F.col("run_w") - F.coalesce("w", none) + F.when(F.col("target").isNotNull(), F.col("all")).otherwise(none)
     sums = each.groupBy("run", "fix").agg(*(F.sum(c).alias(n) for n, c in (("a", F.col("run_s")), ("b", F.col("run_w")), ("c", fixed_s), ("d", fixed_w))))
-    composite = lambda s, w: F.round(F.least(100 * F.pow(F.when(F.col(w) > 0, F.col(s) / F.col(w)) / 100, F.lit(1.15)), F.lit(100.0)), 1)
+    composite = lambda s, w: S.calibrated(F.when(F.col(w) > 0, F.col(s) / F.col(w)))
     out = sums.select("run", "fix", composite("a", "b").alias("before"), composite("c", "d").alias("after"))
     return out.withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
 

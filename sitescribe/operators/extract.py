@@ -6,7 +6,6 @@ One Arrow UDF reads each page once and returns a struct; what can be told from t
 
 from __future__ import annotations
 
-import json
 import re
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import page_tree as T
 from ..functions import text as X
 from ..functions import urls as U
+from . import structured as D
 
 FEATURES = """title string, canonical string, meta map<string,string>, jsonld array<string>, headings array<struct<level:int,text:string>>,
   links array<struct<href:string,text:string>>, images_total int, images_with_alt int, counts map<string,int>, markdown string, visible string"""
@@ -191,41 +191,15 @@ def found_emails(pages: DataFrame) -> DataFrame:
 
 
 def jsonld_items(pages: DataFrame) -> DataFrame:
-    """(page_id, item, types): each object of the pages' JSON-LD; lists give their members, invalid text nothing.
+    """(page_id, place, item, types): each object of the pages' JSON-LD in order; lists give their members, invalid text nothing.
 
     A type that is a list counts as each of its members.
     """
-    blocks = pages.select("page_id", F.explode("f.jsonld").alias("raw")).select("page_id", F.try_parse_json("raw").alias("v")).where("v is not null")
-    is_list = F.schema_of_variant("v").startswith("ARRAY")
-    items = F.when(is_list, F.variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    out = blocks.select("page_id", F.explode(items).alias("item")).where(F.schema_of_variant("item").startswith("OBJECT"))
-    kinds = F.coalesce(F.try_variant_get("item", "$['@type']", "array<string>"), F.array_compact(F.array(F.try_variant_get("item", "$['@type']", "string"))))
-    return out.select("page_id", "item", kinds.alias("types"))
-
-
-def _typed_objects(raw: pd.Series) -> pd.Series:
-    """JSON of the objects with a type at any depth: type, name and description of each."""
-    out = []
-    for text in raw:
-        found, left = [], [json.loads(text)]
-        while left:
-            value = left.pop()
-            if isinstance(value, dict):
-                if "@type" in value:
-                    found.append(json.dumps({k: value[k] for k in ("@type", "name", "description") if k in value}))
-                left.extend(value.values())
-            elif isinstance(value, list):
-                left.extend(value)
-        out.append(found)
-    return pd.Series(out, dtype=object)
-
-
-def organisations(items: DataFrame) -> DataFrame:
-    """(page_id, name, description): objects of type Organization at any depth of the pages' JSON-LD."""
-    every = items.select("page_id", F.explode(F.pandas_udf(_typed_objects, "array<string>")(F.to_json("item"))).alias("raw")).select("page_id", F.parse_json("raw").alias("v"))
-    kind = F.coalesce(F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), ","), F.try_variant_get("v", "$['@type']", "string"))
-    text = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
-    return every.where(F.array_contains(F.split(kind, ","), "Organization")).select("page_id", text("name"), text("description"))
+    blocks = pages.select("page_id", F.posexplode("f.jsonld").alias("block", "raw")).select("page_id", "block", F.try_parse_json("raw").alias("v")).where("v is not null")
+    members = F.when(D.is_list(F.col("v")), F.variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    each = blocks.select("page_id", "block", F.posexplode(members).alias("at", "item")).where(D.is_object(F.col("item")))
+    order = Window.partitionBy("page_id").orderBy("block", "at")
+    return each.select("page_id", (F.row_number().over(order) - 1).alias("place"), "item", D.types_of(F.col("item")).alias("types"))
 
 
 def dates(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract, line_diff
+from ..operators import extract, line_diff, structured
 from ..sources.scratch import scratch_path
 from ..sources.tables import read
 from ..streaming import twins
@@ -50,7 +50,7 @@ def page_structured_data(spark, sf_dir):
 
 @query()
 def page_organisations(spark, sf_dir):
-    return extract.organisations(extract.jsonld_items(featured(spark, sf_dir)))
+    return structured.organisations(extract.jsonld_items(featured(spark, sf_dir)))
 
 
 @query()

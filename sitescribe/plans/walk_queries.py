@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frontier, sitemaps
+from ..operators import extract, frontier, sitemaps, structured
 from ..sources.tables import read
 from .page_queries import ORACLES, QUERIES, query
 
@@ -116,3 +116,54 @@ def crawl_frontier(spark, sf_dir):
   CASE WHEN arg_max(outcome, n) = 'left' THEN 'max_pages' WHEN bool_or(truncated) THEN 'max_depth' ELSE 'queue_empty' END AS stop_reason FROM pops GROUP BY site""")
 def crawl_stops(spark, sf_dir):
     return frontier.crawl_summary(_crawled(spark, sf_dir), BUDGET)
+
+
+# Objects by the page's number, which stands where the hash is.
+OBJECTS = [
+    '{"@type":"FAQPage","name":"faq #","mainEntity":[{"@type":"Question","name":"What is #?","acceptedAnswer":{"text":"It is # of all. More."}},{"name":""},{"name":"Why #?"}]}',
+    '{"@type":["Organization","Brand"],"name":"site #","description":"","logo":{"url":"l#"},"sameAs":["a","b#","c","d"],"contactPoint":[{"contactType":"sales","email":"s#@x.org"},7,{"contactType":"help","email":null}],"founder":{"@type":"Organization","name":"inner #"}}',
+    '{"@type":"SoftwareApplication","name":"app","softwareVersion":0,"isAccessibleForFree":true,"featureList":["f#","g"],"offers":{"price":"#","priceCurrency":"USD"},"author":{"name":"by #"},"publisher":"none"}',
+    '[{"@type":"Article","datePublished":"2024-01-01"},{"@graph":[{"part":{"@type":"Organization","name":"deep #","description":"d#"}}]},{}]',
+    '{broken #',
+]
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.replace(F.element_at(F.array(*map(F.lit, OBJECTS)), (F.col("page_id") % len(OBJECTS)).cast("int") + 1), F.lit("#"), F.col("page_id").cast("string"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.struct(F.array(raw).alias("jsonld")).alias("f"))
+    return extract.jsonld_items(pages)
+
+
+_QUOTED = ", ".join("'" + x + "'" for x in OBJECTS)
+_RAW = f"replace([{_QUOTED}][page_id % {len(OBJECTS)} + 1], '#', CAST(page_id AS VARCHAR))"
+_ITEMS = f"""blocks AS (SELECT page_id, CAST({_RAW} AS JSON) AS v FROM pages WHERE page_id % 5 <> 4
+), items AS (
+  SELECT page_id, unnest(range(CAST(CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v) ELSE 1 END AS BIGINT))) AS place, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || place || ']') ELSE v END AS item FROM blocks
+)"""
+_TOLD = "CASE WHEN json_extract(item, '$.\"{0}\"') NOT IN ('null', 'false', '0', '\"\"', '[]', '{{}}') THEN '\"{0}\":' || CAST(json_extract(item, '$.\"{0}\"') AS VARCHAR) END"
+_KEYS = ", ".join(_TOLD.format(k) for k in structured.FLAT)
+_NAMES = ", ".join(f"CASE WHEN json_type(item, '$.{k}') = 'OBJECT' THEN '\"{k}\":' || CAST(json_extract(item, '$.{k}.name') AS VARCHAR) END" for k in structured.NAMED)
+
+
+@query(f"""WITH {_ITEMS}
+SELECT page_id, place, '{{' || concat_ws(',', {_KEYS}, {_NAMES},
+  CASE WHEN json_type(item, '$.contactPoint') = 'ARRAY' THEN '"contactPoint":[{{"contactType":"sales","email":' || CAST(json_extract(item, '$.contactPoint[0].email') AS VARCHAR) || '}},{{"contactType":' || CAST(json_extract(item, '$.contactPoint[2].contactType') AS VARCHAR) || '}}]' END,
+  CASE WHEN json_type(item, '$.offers.price') <> 'NULL' THEN '"offers":{{"price":' || CAST(json_extract(item, '$.offers.price') AS VARCHAR) || ',"priceCurrency":' || CAST(json_extract(item, '$.offers.priceCurrency') AS VARCHAR) || '}}' END,
+  CASE WHEN json_array_length(item, '$.sameAs') > 0 THEN '"sameAs_count":' || json_array_length(item, '$.sameAs') || ',"sameAs_sample":' || CAST(to_json(json_extract_string(item, '$.sameAs[*]')[1:3]) AS VARCHAR) END,
+  CASE WHEN json_array_length(item, '$.featureList') > 0 THEN '"featureList":' || CAST(json_extract(item, '$.featureList') AS VARCHAR) END,
+  CASE WHEN json_array_length(item, '$.mainEntity') > 0 THEN '"mainEntity_count":3,"mainEntity_qa":[{{"question":"What is ' || page_id || '?","answer_excerpt":"It is ' || page_id || ' of all"}},{{"question":"Why ' || page_id || '?"}}]' END
+) || '}}' AS summary FROM items WHERE item <> '{{}}' AND NOT json_exists(item, '$."@graph"')""")
+def jsonld_summaries(spark, sf_dir):
+    out = structured.summaries(_objects(spark, sf_dir))
+    return out.select("page_id", F.col("place").cast("long").alias("place"), "summary")
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, walk AS (
+  SELECT page_id, item AS v FROM items
+  UNION ALL
+  SELECT page_id, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_extract(v, '$.*') WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE [] END) AS v FROM walk WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+)
+SELECT page_id, json_extract_string(v, '$.name') AS name, json_extract_string(v, '$.description') AS description FROM walk
+WHERE json_type(v) = 'OBJECT' AND (json_extract_string(v, '$."@type"') = 'Organization' OR list_contains(json_extract_string(v, '$."@type"[*]'), 'Organization'))""")
+def jsonld_organisations(spark, sf_dir):
+    return structured.organisations(_objects(spark, sf_dir))

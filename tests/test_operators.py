@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescribe.functions import html as H
-from sitescribe.operators import activity, audit, compare, extract, frontier, revisions
+from sitescribe.operators import activity, audit, compare, extract, frontier, revisions, structured
 from sitescribe.sources import sinks
 
 PAGE = """<html><head><title> My
@@ -166,7 +166,7 @@ def test_page_patterns(spark):
 def test_organisations_at_any_depth(spark):
     raw = '{"@type":"WebPage","publisher":{"@type":"Organization","name":"A"},"x":[{"y":{"@type":["Organization","Brand"],"name":"B","description":"d"}}],"z":1}'
     items = extract.jsonld_items(spark.createDataFrame([(1, [raw]), (2, ["{bad"])], "page_id long, j array<string>").select("page_id", F.struct(F.col("j").alias("jsonld")).alias("f")))
-    assert {(r.name, r.description) for r in extract.organisations(items).collect()} == {("A", None), ("B", "d")}
+    assert {(r.name, r.description) for r in structured.organisations(items).collect()} == {("A", None), ("B", "d")}
 
 
 def test_freshness(spark):

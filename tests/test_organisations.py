@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sitescribe.operators import extract
+from sitescribe.operators import extract, structured
 
 
 def test_organisations_below_six_levels(spark):
@@ -15,4 +15,4 @@ def test_organisations_below_six_levels(spark):
         nested = {"part": [nested]}
     rows = [(1, [json.dumps(raw)]), (2, [json.dumps(nested)])]
     items = extract.jsonld_items(spark.createDataFrame(rows, "page_id long, j array<string>").select("page_id", F.struct(F.col("j").alias("jsonld")).alias("f")))
-    assert {(r.page_id, r.name, r.description) for r in extract.organisations(items).collect()} == {(1, "Deep", "d"), (2, "Deeper", None)}
+    assert {(r.page_id, r.name, r.description) for r in structured.organisations(items).collect()} == {(1, "Deep", "d"), (2, "Deeper", None)}
