@@ -118,7 +118,8 @@ class SuffixAutomaton:
         return spans, items
 
 
-def _matcher(shared, window: int):
+def _matcher(shared, window: int, cut: bool = False):
+    """Finds the items' windows; with ``cut`` the text without them too, so that one worker does both."""
     built: list[SuffixAutomaton] = []
 
     def match(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -132,20 +133,21 @@ def _matcher(shared, window: int):
             for first, beyond in [*found, *np.reshape(before, (-1, 2)).tolist()]:
                 covered[first + 1 : beyond + 1] = 1
             edges = np.flatnonzero(np.diff(covered))
-            rows.append((len(words), int(covered.sum()), edges.astype(np.int32), sorted({*known, *(x for x in of if x is not None)})))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items"])
+            rows.append((len(words), int(covered.sum()), edges.astype(np.int32), sorted({*known, *(x for x in of if x is not None)}), _cut(text, edges) if cut and len(edges) else None))
+        return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans", "items", "rest"])
 
     return match
 
 
-MATCH = "n_words long, n_hit long, spans array<int>, items array<string>"
+MATCH = "n_words long, n_hit long, spans array<int>, items array<string>, rest string"
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """``docs`` and a column ``_match`` of ``n_words, n_hit, spans, items``.
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_words: int = AUTOMATON_WORDS, cut: bool = False) -> DataFrame:
+    """``docs`` and a column ``_match`` of ``n_words, n_hit, spans, items, rest``.
 
     ``spans`` lists first word and word beyond the last of each hit run, ``items`` the sorted
-    ``item_id`` (as strings) of test items with an occurring window.  Null and empty texts have no
+    ``item_id`` (as strings) of test items with an occurring window; ``rest`` is the text without hit
+    words where ``cut`` asks for it and there are any, else null.  Null and empty texts have no
     words; items without words match nothing; an item with a null ``item_id`` hits words and is
     not listed.  Repeated items count once, repeated documents are judged alike.  Other columns are
     kept as they are, but for those named ``_match``, ``_key``, ``_spans`` or ``_items``.
@@ -164,7 +166,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, a
     broadcast = docs.sparkSession.sparkContext.broadcast
     if parts == 1:
         shared = broadcast([tuple(r) for r in items.distinct().collect()])
-        return docs.withColumn("_match", F.pandas_udf(_matcher(shared, window), MATCH)("text", spans, known))
+        return docs.withColumn("_match", F.pandas_udf(_matcher(shared, window, cut), MATCH)("text", spans, known))
     texts, found = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_of"), "text"), []
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
@@ -179,23 +181,18 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, a
     here = seen.where("_maybe")
     here = here.join(together, here["doc_id"].eqNullSafe(F.col("_id")) & (here["_key"] == F.col("_of")), "left").select(*columns, "_spans", "_items")
     there = seen.where("not _maybe").select(*columns, spans.alias("_spans"), known.alias("_items"))
-    match = F.pandas_udf(_matcher(broadcast([]), window), MATCH)
+    match = F.pandas_udf(_matcher(broadcast([]), window, cut), MATCH)
     return there.unionByName(here).withColumn("_match", match("text", F.coalesce("_spans", spans), F.coalesce("_items", known))).select(*columns, "_match")
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    def cut(text: str | None, spans: np.ndarray) -> str | None:
-        if text is None or not len(spans):
-            return text
-        raw = utf8(text)
-        places = [m.span() for m in WORD.finditer(raw.translate(LOWER))]
-        kept, at = [], 0
-        for first, beyond in np.reshape(spans, (-1, 2)).tolist():
-            kept.append(raw[at : places[first][0]])
-            at = places[beyond - 1][1]
-        return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
-
-    return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+def _cut(text: str, edges: np.ndarray) -> str:
+    raw = utf8(text)
+    places = [m.span() for m in WORD.finditer(raw.translate(LOWER))]
+    kept, at = [], 0
+    for first, beyond in np.reshape(edges, (-1, 2)).tolist():
+        kept.append(raw[at : places[first][0]])
+        at = places[beyond - 1][1]
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_covered: float = 0.5) -> DataFrame:
@@ -206,9 +203,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most
     of the words are hit are dropped.  Clean documents stay as they are, also null and empty ones.
     """
     columns = docs.columns
-    found = benchmark_matches(docs, benchmark, window)
+    found = benchmark_matches(docs, benchmark, window, cut=True)
     found = found.where(F.col("_match.n_hit") <= F.lit(most_covered) * F.col("_match.n_words"))
-    found = found.withColumn("text", F.when(F.col("_match.n_hit") > 0, F.pandas_udf(_cut, "string")("text", F.col("_match.spans"))).otherwise(F.col("text")))
+    found = found.withColumn("text", F.coalesce("_match.rest", "text"))
     if "n_chars" in columns:
         found = found.withColumn("n_chars", F.when(F.col("_match.n_hit") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*columns)
