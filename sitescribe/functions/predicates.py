@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import addresses as A
+
 # Statuses by which a site refuses, and the number of words that make real content.
 REFUSED, SUBSTANTIVE = [401, 403, 429, 503], 50
 # First parts of addresses that nobody reads.
@@ -57,9 +59,7 @@ def viewer_role(owner: Column, viewer: Column, visibility: Column) -> Column:
 
 
 def internal_host(host: Column) -> Column:
-    """Names and literal addresses of machines that are not on the public net."""
-    h = F.lower(host)
-    octet = lambda k: F.regexp_extract(h, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", k).try_cast("int")
-    a, b = octet(1), octet(2)
-    private = a.isin(0, 10, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168) | (a == 100) & b.between(64, 127) | (a >= 224)
-    return (h == "localhost") | h.rlike(r"\.(internal|local|localhost)$") | h.rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe80:.*)\]?$") | F.coalesce(private, F.lit(False))
+    """Names and literal addresses of machines that are not on the public net; addresses in any notation, and no host at all."""
+    h = F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), r"\.$", "")
+    named = (h == "") | (h == "localhost") | h.rlike(r"\.(internal|local|localhost)$")
+    return A.let(A.address_digits(h), lambda digits: F.when(digits.isNotNull(), ~A.public_address(digits)).otherwise(named))

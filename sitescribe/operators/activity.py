@@ -80,6 +80,30 @@ def kept(rows: DataFrame, time: str, as_of: Column, days: int) -> DataFrame:
     return rows if days <= 0 else rows.where(F.col(time) >= as_of - F.make_interval(days=F.lit(days)))
 
 
-def admitted(requests: DataFrame, limit: int) -> DataFrame:
-    """Whether each request still fits its user's quota, first come first served."""
-    return requests.withColumn("admitted", F.row_number().over(in_order()) <= limit)
+def admitted(requests: DataFrame, usage: DataFrame, running_limit: int, site_limit: int) -> DataFrame:
+    """``requests`` and a ``status``: invalid, quota, cooldown or queued, first come first served.
+
+    ``requests(user_id, ts, event_id, valid, refreshing, scope, series)``; ``usage(user_id, running, sites)`` has what each user
+    holds already.  Only a request that is queued uses quota: one of the running jobs and, as all of a batch count there, one of
+    the day's sites, which only bounds requests with scope ``site``.  A request that is valid and within quota cools down if its
+    series is being refreshed, or was queued before it.
+
+    Refusals use nothing, but no fold is needed: up to the smaller limit every first request of a series
+    is queued, beyond it those for pages until the larger one is reached.  So two running counts give what was
+    queued before each request.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda flag: F.coalesce(F.sum(flag.cast("int")).over(before), F.lit(0))
+    room = lambda limit, used: F.greatest(F.lit(limit) - F.coalesce(used, F.lit(0)), F.lit(0))
+    valid, refreshing = F.coalesce("valid", F.lit(False)), F.coalesce("refreshing", F.lit(False))
+    site = F.coalesce(F.col("scope") == "site", F.lit(False))
+    rows = requests.join(usage.groupBy("user_id").agg(F.max("running").alias("_running"), F.max("sites").alias("_sites")), "user_id", "left")
+    rows = rows.withColumns({"_jobs": room(running_limit, F.col("_running")), "_days": room(site_limit, F.col("_sites")), "_open": valid & ~refreshing, "_site": site})
+    rows = rows.withColumn("_first", F.col("_open") & (F.row_number().over(Window.partitionBy("user_id", "series", "_site", "_open").orderBy("ts", "event_id")) == 1))
+    rows = rows.withColumn("_least", F.least("_jobs", "_days")).withColumn("_n", count(F.col("_first")))
+    rows = rows.withColumn("_late", count(F.col("_first") & (F.col("_n") >= F.col("_least")) & ~F.col("_site")))
+    queued = F.when(F.col("_n") < F.col("_least"), F.col("_n")).otherwise(F.col("_least") + F.least(F.col("_late"), F.col("_jobs") - F.col("_least")))
+    allowed = (queued < F.col("_jobs")) & (~F.col("_site") | (queued < F.col("_days")))
+    status = F.when(~valid, "invalid").when(~allowed, "quota").when(refreshing | ~F.col("_first"), "cooldown").otherwise("queued")
+    return rows.withColumn("status", status).select(*requests.columns, "status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import activity
+from ..operators import activity, quantiles
 from ..sources.tables import read
 from .page_queries import ORACLES, QUERIES, query
 
@@ -87,16 +87,31 @@ def retained_events(spark, sf_dir):
     return activity.kept(kinds(spark, sf_dir), "ts", F.expr("TIMESTAMP_NTZ '2024-02-14'"), 30).select("event_id")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10 AS admitted FROM events")
+# One step takes the next request of every user; the state is what was queued so far.
+@query("""WITH RECURSIVE asked AS (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value < 95 AS valid, event_id % 11 = 0 AS refreshing, event_type IN ('view', 'signup') AS site, CAST(floor(value / 3) AS BIGINT) AS series,
+    greatest(0, 12 - user_id % 5) AS jobs, greatest(0, 6 - user_id % 8) AS days FROM events
+), steps AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST([] AS VARCHAR[]) AS queued, '' AS status FROM asked WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN status = 'queued' THEN list_append(queued, key) ELSE queued END, status FROM (
+    SELECT a.user_id, a.i, a.event_id, s.queued, site || ':' || series AS key, CASE WHEN NOT valid THEN 'invalid' WHEN len(s.queued) >= jobs OR site AND len(s.queued) >= days THEN 'quota'
+      WHEN refreshing OR list_contains(s.queued, site || ':' || series) THEN 'cooldown' ELSE 'queued' END AS status FROM steps s JOIN asked a ON a.user_id = s.user_id AND a.i = s.i + 1
+  )
+) SELECT event_id, status FROM steps WHERE i > 0""")
 def admitted_requests(spark, sf_dir):
-    return activity.admitted(kinds(spark, sf_dir), 10).select("event_id", "admitted")
+    rows = kinds(spark, sf_dir)
+    scope = F.when(F.col("event_type").isin("view", "signup"), "site").otherwise("page")
+    rows = rows.withColumns({"valid": F.col("value") < 95, "refreshing": F.col("event_id") % 11 == 0, "scope": scope, "series": F.floor(F.col("value") / 3)})
+    usage = rows.select("user_id", (F.col("user_id") % 5).alias("running"), (F.col("user_id") % 8).alias("sites")).distinct()
+    return activity.admitted(rows, usage, running_limit=12, site_limit=6).select("event_id", "status")
 
 
 @query("""SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY ALL""")
 def daily_p95(spark, sf_dir):
     """Exact percentile by kind and day, as alert rules read it."""
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return kinds(spark, sf_dir).groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.round(p95, 6).alias("p95"))
+    found = quantiles.quantile(kinds(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts")), ["event_type", "day"], "value", 0.95)
+    return found.select("event_type", "day", "n", F.round("quantile", 6).alias("p95"))
 
 
 @query("""SELECT event_type, CASE event_type WHEN 'rate_limited' THEN 'Rate limited' ELSE upper(event_type[1]) || lower(event_type[2:]) END AS label, count(*) AS n FROM events GROUP BY ALL""")

@@ -88,3 +88,25 @@ def token_budget_texts(spark, sf_dir):
     """What of each conversation fits into a budget, the last text cut."""
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("site"), F.col("turn").alias("place"), "text")
     return jobs.budgeted(turns, 600, 50).select("site", F.size("admitted").alias("n_texts"), F.length(F.array_join("admitted", "")).alias("n_chars"))
+
+
+# An address by a part's number, in the notation that its last digit says.
+_V4 = "(k * 2654435761) % 4294967296"
+_BITS = f"CASE k % 6 WHEN 4 THEN [167772160, 2886729728, 3232235520, 3221225472, 3325231104, 134744072, 2130706433, 1681915904][k // 6 % 8 + 1] + k % 200 ELSE {_V4} END"
+_DOTTED = "(b // 16777216) || '.' || (b // 65536 % 256) || '.' || (b // 256 % 256) || '.' || (b % 256)"
+_NOT_PUBLIC = " OR ".join(f"b BETWEEN {a} AND {z}" for a, z in ((0, 16777215), (167772160, 184549375), (1681915904, 1686110207), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3221225472, 3221225727), (3221225984, 3221226239), (3232235520, 3232301055), (3323068416, 3323199487), (3325256704, 3325256959), (3405803776, 3405804031), (4026531840, 4294967295)))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k FROM part), v AS (SELECT k, CAST({_BITS} AS BIGINT) AS b FROM p)
+SELECT k AS part, CASE k % 6 WHEN 1 THEN CAST(b AS VARCHAR) WHEN 2 THEN '0x' || lower(hex(b)) WHEN 3 THEN '[::ffff:' || {_DOTTED} || ']' WHEN 5 THEN '2001:db8::' || (k % 9000) ELSE {_DOTTED} END AS host,
+  CASE WHEN k % 6 = 5 THEN true ELSE b NOT IN (3221225481, 3221225482) AND ({_NOT_PUBLIC}) END AS internal FROM v""")
+def internal_addresses(spark, sf_dir):
+    """Addresses in dotted, whole, hexadecimal, mapped and short notation."""
+    k = F.col("p_partkey")
+    few = F.array(*[F.lit(x).cast("long") for x in (167772160, 2886729728, 3232235520, 3221225472, 3325231104, 134744072, 2130706433, 1681915904)])
+    bits = F.when(k % 6 == 4, F.element_at(few, (F.floor(k / 6) % 8 + 1).cast("int")) + k % 200).otherwise(k * F.lit(2654435761) % F.lit(4294967296))
+    rows = read(spark, sf_dir, "part").select(k.alias("part"), bits.alias("b"))
+    dotted = F.concat_ws(".", *[F.shiftright("b", n).bitwiseAND(255).cast("string") for n in (24, 16, 8, 0)])
+    kind = F.col("part") % 6
+    host = F.when(kind == 1, F.col("b").cast("string")).when(kind == 2, F.concat(F.lit("0x"), F.lower(F.hex("b")))).when(kind == 3, F.concat(F.lit("[::ffff:"), dotted, F.lit("]"))).when(kind == 5, F.concat(F.lit("2001:db8::"), F.col("part") % 9000)).otherwise(dotted)
+    return rows.select("part", host.alias("host")).withColumn("internal", P.internal_host(F.col("host")))
