@@ -107,3 +107,21 @@ def admitted(requests: DataFrame, usage: DataFrame, running_limit: int, site_lim
     allowed = (queued < F.col("_jobs")) & (~F.col("_site") | (queued < F.col("_days")))
     status = F.when(~valid, "invalid").when(~allowed, "quota").when(refreshing | ~F.col("_first"), "cooldown").otherwise("queued")
     return rows.withColumn("status", status).select(*requests.columns, "status")
+
+
+def gate_claims(events: DataFrame) -> DataFrame:
+    """(key, event, at): the first ``hit`` of each key of ``events(key, ts, event_id, kind)``, and the first ``taken`` after it."""
+    at = F.struct("ts", "event_id")
+    hits = events.where("kind = 'hit'").groupBy("key").agg(F.min(at).alias("_hit"))
+    takes = events.where("kind = 'taken'").join(hits, "key").where(at > F.col("_hit")).groupBy("key").agg(F.min("ts").alias("at"))
+    return hits.select("key", F.lit("hit").alias("event"), F.col("_hit.ts").alias("at")).unionByName(takes.select("key", F.lit("taken").alias("event"), "at"))
+
+
+def stage_rises(events: DataFrame) -> DataFrame:
+    """(key, at, n): when each key of ``events(key, ts, event_id, kind)`` first reached a stage above all before; kinds are numbers of stages.
+
+    A stage's first event comes first; of the few stages that a key has those remain that no higher one precedes.
+    """
+    stages = events.select("key", F.col("kind").cast("long").alias("n"), F.struct("ts", "event_id").alias("_at")).groupBy("key", "n").agg(F.min("_at").alias("_at"))
+    before = F.max("n").over(Window.partitionBy("key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return stages.withColumn("_before", before).where("n > 0 and (_before is null or n > _before)").select("key", F.col("_at.ts").alias("at"), "n")

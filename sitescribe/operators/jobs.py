@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,7 +83,22 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return runs.where("state in ('failed', 'succeeded')").join(first, "series", "left").select("run_id", event.alias("event"))
 
 
-def live_sessions(uses: DataFrame, now: Column, minutes: int) -> DataFrame:
-    """Sessions that have not expired: each use at ``at`` moves the end of ``uses(session, at)`` to so many minutes later."""
-    ends = F.max("at") + F.make_interval(mins=F.lit(minutes))
-    return uses.groupBy("session").agg(ends.alias("ends"), F.count("*").alias("uses")).where(F.col("ends") > now)
+def sessions(uses: DataFrame, ttl: int, absolute: int) -> DataFrame:
+    """(session, ends, uses) of ``uses(session, at)``: a use before the end moves it to ``ttl`` seconds later, but no further than ``absolute`` seconds after the first.
+
+    A use at or after the end is none: the session has ended and doesn't revive.
+    """
+    order = Window.partitionBy("session").orderBy("at")
+    since = lambda t: F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(t.cast("timestamp"))
+    first = F.min("at").over(Window.partitionBy("session"))
+    over = (since(F.lag("at").over(order)) >= ttl * 1_000_000) | (since(first) >= absolute * 1_000_000)
+    alive = F.max(F.coalesce(over, F.lit(False)).cast("int")).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) == 0
+    later = lambda t, seconds: t + F.make_interval(secs=F.lit(seconds))
+    kept = uses.withColumn("_alive", alive).where("_alive").groupBy("session").agg(F.min("at").alias("_first"), F.max("at").alias("_last"), F.count("*").alias("uses"))
+    return kept.select("session", F.least(later(F.col("_first"), absolute), later(F.col("_last"), ttl)).alias("ends"), "uses")
+
+
+def live_sessions(uses: DataFrame, now: Column, ttl: int, absolute: int) -> DataFrame:
+    """Sessions that have not ended at ``now``, by the uses up to then; ``now`` may be a scalar of a query."""
+    return sessions(uses.where(F.col("at") <= now), ttl, absolute).where(F.col("ends") > now)
+

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract, line_diff, structured
+from ..operators import activity, extract, line_diff, structured
 from ..sources.scratch import scratch_path
 from ..sources.tables import read
-from ..streaming import twins
+from ..streaming import processors, twins
 from .page_queries import ORACLES, QUERIES, query
+from .score_queries import SESSION_STEPS
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -86,3 +87,43 @@ def stream_event_state(spark, sf_dir) -> DataFrame:
     out = spark.read.parquet(f"{folder}/out")
     last = F.max_by(F.struct("n_events", "distinct_items", "segment"), "batch").alias("s")
     return out.groupBy("user_id").agg(last).select("user_id", "s.n_events", "s.distinct_items", "s.segment")
+
+
+def _processed(spark, sf_dir, key, kind, processor) -> DataFrame:
+    """The events' stream through a state processor; what the watermark has not passed when the files end stays in the state."""
+    folder = _folder(spark)
+    events = twins.read_stream(spark, sf_dir).select(key.alias("key"), "ts", "event_id", kind.alias("kind")).where("kind is not null")
+    twins.run_once(processors.processed(events, processor, "1 hour"), f"{folder}/out", "append", f"{folder}/checkpoint")
+    return spark.read.schema(processors.ROW).parquet(f"{folder}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+_PASSED = "ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events WHERE {0})"
+_GATE = "CASE event_type WHEN 'view' THEN 'hit' WHEN 'purchase' THEN 'taken' END"
+
+
+@query(f"""WITH e AS (SELECT user_id || ':' || (CAST(floor(value) AS BIGINT) % 3) AS key, ts, event_id, {_GATE} AS kind FROM events WHERE event_type IN ('view', 'purchase') AND {_PASSED.format("event_type IN ('view', 'purchase')")}),
+  h AS (SELECT key, min((ts, event_id)) AS h FROM e WHERE kind = 'hit' GROUP BY key)
+SELECT key, 'hit' AS event, h[1] AS "at" FROM h UNION ALL SELECT key, 'taken', min(ts) FROM e JOIN h USING (key) WHERE kind = 'taken' AND (ts, event_id) > h GROUP BY key""")
+def stream_gates(spark, sf_dir):
+    key = F.concat_ws(":", F.col("user_id").cast("string"), (F.floor("value") % 3).cast("string"))
+    kind = F.when(F.col("event_type") == "view", "hit").when(F.col("event_type") == "purchase", "taken")
+    return _processed(spark, sf_dir, key, kind, processors.Gates()).select("key", "event", "at")
+
+
+_STAGE = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END"
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, {_STAGE} AS n FROM events WHERE {_STAGE} IS NOT NULL AND {_PASSED.format(_STAGE + " IS NOT NULL")})
+SELECT key, ts AS "at", CAST(n AS BIGINT) AS n FROM (SELECT *, max(n) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e) WHERE before IS NULL OR n > before""")
+def stream_stages(spark, sf_dir):
+    kind = F.lit(None).cast("int")
+    for name, rank in activity.STAGES.items():
+        kind = F.when(F.col("event_type") == name, rank).otherwise(kind)
+    return _processed(spark, sf_dir, F.col("user_id"), kind, processors.Transitions()).select("key", "at", "n")
+
+
+@query(SESSION_STEPS.format(when=_PASSED.format("true"), ttl=21600, absolute=50000) + """ SELECT session AS key, max(ends) AS ends, max(uses) AS uses FROM steps GROUP BY session
+  HAVING max(ends) < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(spark, sf_dir):
+    key = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    return _processed(spark, sf_dir, key, F.lit("use"), processors.Sessions(21600, 50000)).select("key", F.col("at").alias("ends"), F.col("n").alias("uses"))

@@ -155,9 +155,20 @@ def requeued_jobs(spark, sf_dir):
     return jobs.reclaimed(table, now, 60).select("job_id", F.col("state").alias("reclaimed")).join(adopted, "job_id").withColumnRenamed("job_id", "run_id")
 
 
-@query("SELECT user_id AS session, max(ts) + INTERVAL 30 MINUTE AS ends, count(*) AS uses FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 30 MINUTE > (SELECT max(ts) - INTERVAL 12 HOUR FROM events)")
+# One step takes the next use of every session.
+SESSION_STEPS = """WITH RECURSIVE used AS (
+  SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y%m%d') AS session, ts AS t, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS i FROM events WHERE {when}
+), steps AS (
+  SELECT session, i, t AS first, least(t + INTERVAL {ttl} SECOND, t + INTERVAL {absolute} SECOND) AS ends, CAST(1 AS BIGINT) AS uses, false AS over FROM used WHERE i = 1
+  UNION ALL
+  SELECT s.session, u.i, first, CASE WHEN over OR u.t >= ends THEN ends ELSE least(u.t + INTERVAL {ttl} SECOND, first + INTERVAL {absolute} SECOND) END, uses + CASE WHEN over OR u.t >= ends THEN 0 ELSE 1 END, over OR u.t >= ends
+  FROM steps s JOIN used u ON u.session = s.session AND u.i = s.i + 1
+)"""
+
+
+@query(SESSION_STEPS.format(when="ts <= (SELECT max(ts) - INTERVAL 12 HOUR FROM events)", ttl=21600, absolute=50000) + " SELECT session, max(ends) AS ends, max(uses) AS uses FROM steps GROUP BY session HAVING max(ends) > (SELECT max(ts) - INTERVAL 12 HOUR FROM events)")
 def live_sessions(spark, sf_dir):
-    """Sessions that are alive twelve hours before the last event."""
-    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"))
-    last = events.agg(F.max("at").alias("last")).first()["last"]  # one value
-    return jobs.live_sessions(events, F.lit(last).cast(events.schema["at"].dataType) - F.make_interval(hours=F.lit(12)), 30)
+    """A user's sessions of a day that are alive twelve hours before the last event."""
+    events = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("session"), F.col("ts").alias("at"))
+    last = events.agg((F.max("at") - F.make_interval(hours=F.lit(12))).alias("now"))
+    return jobs.live_sessions(events, last.scalar(), 21600, 50000)
