@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from .markdown_sink import MarkdownPages
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -17,10 +18,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def write_markdown(pages: DataFrame, path: str) -> None:
-    """One text file a page and folder, ``host=.../file=.../``; ``pages(url, markdown)``."""
-    rows = pages.select(U.domain_of(F.col("url")).alias("host"), markdown_path(F.col("url")).alias("file"), "markdown")
-    rows.repartition("host", "file").write.partitionBy("host", "file").text(path)
+def write_markdown(pages: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file ``<path>/<host>/<page>.md`` for each of ``pages(url, markdown)``, all or none; of pages with one name the first URL counts."""
+    pages.sparkSession.dataSource.register(MarkdownPages)
+    rows = pages.groupBy(markdown_path(F.col("url")).alias("file")).agg(F.min_by("markdown", "url").alias("markdown"))
+    rows.write.format("markdown_pages").mode("overwrite" if overwrite else "append").save(path)
 
 
 def markdown_path(url: Column) -> Column:
