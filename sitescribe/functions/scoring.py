@@ -93,6 +93,39 @@ def generic_label(score: Column) -> Column:
     return F.when(score >= 80, "Strong").when(score >= 60, "Moderate").when(score.isNotNull(), "Weak")
 
 
+# Highest score of each statement about a lens; classes of ratings.
+IMPLICATIONS = {
+    "AEO": [(25, "Not extractable."), (45, "Limited extractability."), (65, "Partially extractable."), (85, "Reliably extractable."), (100, "Fully extractable.")],
+    "GEO": [(25, "Unreachable."), (45, "Fragmented machine context."), (65, "Reachable but inconsistently connected."), (85, "Consistently connected."), (100, "Fully connected.")],
+    "AAX": [(24, "Not usable."), (39, "Significant friction."), (59, "Partial usability."), (79, "Reliably usable."), (100, "Fully agent-ready.")],
+}
+RATING_CLASSES = {
+    "rating-low": ("Not extractable", "Limited extractability", "Unreachable", "Opaque", "Unclear"), "rating-ok": ("Partially extractable", "Fragmented", "Reachable", "Readable"),
+    "rating-good": ("Reliably extractable", "Connected", "Clear"), "rating-excellent": ("Fully extractable", "Fully connected", "Fluent"),
+}
+BARS = [(70, "var(--color-primary)"), (40, "var(--color-semantic-warning)")]
+
+
+def implication(lens: Column, score: Column) -> Column:
+    """What a score says of a lens; nothing for none."""
+    whole, out = clamp(F.bround(score, 0)), F.lit("")
+    for name, texts in IMPLICATIONS.items():
+        for high, text in reversed(texts):
+            out = F.when((lens == name) & (whole <= high) & score.isNotNull(), F.lit(text)).otherwise(out)
+    return out
+
+
+def rating_class(label: Column) -> Column:
+    out = F.lit("")
+    for name, labels in RATING_CLASSES.items():
+        out = F.when(label.isin(*labels), name).otherwise(out)
+    return out
+
+
+def bar_colour(score: Column) -> Column:
+    return F.when(score.isNull(), "var(--color-surface-2)").when(score >= BARS[0][0], BARS[0][1]).when(score >= BARS[1][0], BARS[1][1]).otherwise("var(--color-semantic-error)")
+
+
 def priority(points: Column) -> Column:
     return F.when(points >= 3, "high").when(points >= 1, "medium").otherwise("low")
 
