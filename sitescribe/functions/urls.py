@@ -123,3 +123,9 @@ def is_homepage(url: Column) -> Column:
 def allowed(url: Column, domains: list[str]) -> Column:
     """Of one of the domains exactly, and not on an ignored path."""
     return domain_of(url).isin(*domains) & ~ignored_path(path_of(url))
+
+
+def should_follow(url: Column, origin: Column, ignored: list[str] | None = None) -> Column:
+    """An address below the origin's prefix, neither on an ignored path nor of an ignored domain."""
+    inside = (F.coalesce(url, F.lit("")) != "") & same_origin_prefix(url, origin) & ~ignored_path(path_of(url))
+    return F.coalesce(inside & ~ignored_domain(domain_of(url), ignored or []), F.lit(False))

@@ -102,7 +102,7 @@ def crawl(starts: DataFrame, fetched: DataFrame, links: DataFrame, seeds: DataFr
         fresh = fresh.groupBy("site", "n").agg(F.array_sort(F.collect_list(F.struct("_r", "url"))).alias("_l")).select("site", "n", F.col("_l.url").alias("links"))
         visited = done.groupBy("site").agg(F.count_if(F.col("outcome") == "visited").alias("visited"))
         work = here.join(fresh, ["site", "n"], "left").join(leads, ["site", "n"], "left").join(visited, "site")
-        foreign = ~U.same_origin_prefix(F.col("final"), U.origin_prefix(F.col("_start")))
+        foreign = ~U.should_follow(F.col("final"), U.origin_prefix(F.col("_start")))
         work = work.select("site", "n", "url", "depth", "final", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce(foreign, F.lit(False)).alias("foreign"), F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("links", F.array().cast("array<string>")).alias("links"), "visited")
         step = written(work.groupBy("site").applyInPandas(_level(budget, expand), STEP), "crawl")
         last = step.groupBy("site").agg(F.max("n").alias("_last"))

@@ -23,10 +23,11 @@ def adopted(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
 
 
 def claimed(jobs: DataFrame, now: Column, cap: int) -> DataFrame:
-    """The oldest waiting jobs run, as many as the cap leaves room for: a top-k of ``cap`` rows at most,
-    which bounds what is broadcast."""
-    room = max(0, cap - jobs.where("state = 'running'").count())
-    picked = jobs.where("state = 'pending'").orderBy("created_at", "job_id").limit(room).select("job_id", F.lit(True).alias("_go"))
+    """The oldest waiting jobs run, as many as the cap leaves room for beside those that run: a top-k of
+    ``cap`` rows at most, which bounds what is numbered and broadcast."""
+    running = jobs.where("state = 'running'").agg(F.count("*").alias("n")).scalar()
+    oldest = jobs.where("state = 'pending'").orderBy("created_at", "job_id").limit(cap)
+    picked = oldest.withColumn("_n", F.row_number().over(Window.orderBy("created_at", "job_id"))).where(F.col("_n") + running <= cap).select("job_id", F.lit(True).alias("_go"))
     out = jobs.join(F.broadcast(picked), "job_id", "left")
     go = F.coalesce("_go", F.lit(False))
     return out.withColumn("state", F.when(go, "running").otherwise(F.col("state"))).withColumn("started_at", F.when(go, now).otherwise(F.col("started_at"))).drop("_go")

@@ -135,8 +135,8 @@ def seeds(urls: DataFrame) -> DataFrame:
     """(site, url) of ``urls(site, origin, url)``: addresses below the origin that a crawl may follow; files for crawlers are none."""
     found = F.regexp_replace(F.regexp_replace(U.resolved(F.trim("url"), F.col("origin")), "[?#].*$", ""), "/$", "")
     rows = urls.withColumn("url", F.concat(F.lower(F.regexp_extract(found, "^([^/]*//[^/]*)", 1)), F.regexp_replace(found, "^[^/]*//[^/]*", "")))
-    inside = U.same_origin_prefix(F.col("url"), U.origin_prefix(F.col("origin"))) & ~U.ignored_path(U.path_of(F.col("url"))) & ~F.col("url").rlike(DIRECTIVES)
-    return rows.where(inside).select("site", "url").distinct()
+    inside = U.should_follow(F.col("url"), U.origin_prefix(F.col("origin")))
+    return rows.where(inside & ~F.col("url").rlike(DIRECTIVES)).select("site", "url").distinct()
 
 
 def interpretation_texts(profiles: DataFrame, labels: dict[str, str], diagnoses: dict[str, str], meanings: dict[tuple[str, str], str], exposures: dict[str, str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """The driver's contract, and the queries against their SQL."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,6 +14,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: The pages of the tables have neither addresses nor structured data; made ones are in other queries.
+WITHOUT_ROWS = {"page_emails", "page_structured_data", "page_organisations"}
+
+
 @pytest.fixture(scope="module")
 def sql():
     found = duckdb.connect()
@@ -24,7 +30,9 @@ def sql():
 
 def plain(frame):
     def cell(x):
-        return None if x is None or x != x else round(float(x), 6) + 0.0 if isinstance(x, float) or hasattr(x, "dtype") and x.dtype.kind == "f" else str(x)
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
+            return None
+        return round(float(x), 6) + 0.0 if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(cell(x) for x in row) for row in frame.itertuples(index=False)), key=str)
@@ -39,7 +47,7 @@ def test_contract(spark):
 def test_query(spark, sql, name):
     got = QUERIES[name](spark, SF)
     if name not in ORACLES:
-        assert got.count() >= 0
+        assert (got.count() > 0) == (name not in WITHOUT_ROWS)
         return
     want = sql.execute(ORACLES[name]).df()
     got = got.toPandas()
