@@ -221,3 +221,13 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert set(both.columns) <= set(out.columns)
         assert {(r._score, r.component_id, r._key, r._match) for r in out.collect()} == {("clash", 1, "k", 2)}
         assert stage(spark, both.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<main><p title="the hidden gem">text</p></main>', "text"), ('<article><p data-id="menu">text</p></article>', "text"), ('<main><div data-role="navigation"><p>text</p></div></main>', "text"),
+    ('<main><div class="social-history"><p>text</p></div></main>', "text"), ('<main><section id="comments-on-policy"><p>text</p></section></main>', "text"), ("<article><p>Text <button>Subscribe now</button> end</p></article>", "Text end"),
+    ('<article><p>a <span hidden>b</span> c <span class="ad">d</span> e</p></article>', "a c e"), ('<article><p>a</p><div class="related-posts"><p>b</p></div><div class="share-buttons">c</div></article>', "a"), ('<article><p id=x class="one" class="ad">a</p></article>', "a"),
+])
+def test_attributes_and_inline_chrome(page, text):
+    """Names in values, other attributes' names, topics in classes, and chrome inside a block."""
+    assert "\n\n".join(t for t, _ in H.judged_blocks(page)[1]) == text
