@@ -98,11 +98,17 @@ class Voters:
 
     def scores(self, bags: np.ndarray) -> np.ndarray:
         """Share of the neighbours' weight that label 1 has; 0 for a text without terms."""
-        near = self._unit(self._weighted(bags) @ self.directions) @ self.vectors.T
-        chosen = np.argpartition(-near, min(NEIGHBOURS, near.shape[1]) - 1, axis=1)[:, :NEIGHBOURS]
-        weights = np.maximum(np.take_along_axis(near, chosen, axis=1).astype(np.float64), 0) ** POWER
+        # In doubles, and rounded, so that a score does not depend on the block that a text is in.
+        own = self._unit(self._weighted(bags.astype(np.float64)) @ self.directions.astype(np.float64))
+        near = np.round(own @ self.vectors.astype(np.float64).T, 9)
+        k = min(NEIGHBOURS, near.shape[1])
+        edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, at = near > edge, near == edge
+        chosen = above | at & (np.cumsum(at, axis=1) <= k - above.sum(axis=1, keepdims=True))  # of equal neighbours the first
+        chosen = np.nonzero(chosen)[1].reshape(len(near), k)
+        weights = np.maximum(np.take_along_axis(near, chosen, axis=1), 0) ** POWER
         total = weights.sum(axis=1)
-        return np.where(total > 0, np.clip((weights * self.labels[chosen]).sum(axis=1) / np.maximum(total, 1e-300), 0, 1), 0.0)
+        return np.round(np.where(total > 0, np.clip((weights * self.labels[chosen]).sum(axis=1) / np.maximum(total, 1e-300), 0, 1), 0.0), 6)
 
 
 def held_out(doc_id: Column) -> Column:
