@@ -54,15 +54,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, once; documents without
-    words and without an id stay.  Texts move only of documents that go or occur more than once."""
+    words stay, and so does every row without an id.  Of rows with one id and text the first by their other
+    columns stays.  Texts move only of documents that go or occur more than once."""
     groups = ngram_jaccard_components(docs, width=5, similarity=Fraction(4, 5))
     groups = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of")).agg(F.count("*").alias("_n"), F.bool_or(~F.col("is_first")).alias("_gone"))
     touched = materialise(groups.where("_n > 1 or _gone"), "touched")
     found = maybe_in(docs.withColumn("_key", text_key()), ["doc_id", "_key"], touched, ["_id", "_of"])
     here = found.where("_maybe")
     same = here["doc_id"].eqNullSafe(F.col("_id")) & (here["_key"] == F.col("_of"))
-    kept = here.join(touched, same, "left").where(F.coalesce(~F.col("_gone"), F.lit(True))).dropDuplicates(["doc_id", "_key"])
-    return found.where("not _maybe").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    kept = here.join(touched, same, "left").where(F.coalesce(~F.col("_gone"), F.lit(True)))
+    # Of rows with one id and text the first by what else they hold, so that a task that runs again chooses alike.
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    once = kept.where("doc_id is not null").groupBy("doc_id", "_key").agg(F.min_by(F.struct(*docs.columns), others).alias("_row")).select("_row.*")
+    alone = kept.where("doc_id is null").select(*docs.columns)
+    return found.where("not _maybe").select(*docs.columns).unionByName(once).unionByName(alone)
 
 
 @stage
