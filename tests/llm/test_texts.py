@@ -224,3 +224,24 @@ def test_secrets(spark):
     assert not [r for r in found if r.is_secret and r.doc_id in (2, 5)]
     assert next(r for r in found if r.doc_id == 1).start == len("é password=")
     assert S.scanned(docs.limit(0), model, grams).collect() == []
+
+
+def test_scores_are_the_same_in_any_block(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdef ghi"), 80)) for _ in range(90)] + ["same text"] * 3
+    bags = [Q.packed(Q.terms(t)) for t in texts]
+    voters = Q.Voters(Q.Bags(bags), np.array([i % 2 for i in range(len(texts))]))
+    whole = voters.scores(np.stack([Q.terms(t) for t in texts]))
+    assert len(set(whole)) > 20
+    for order in (np.arange(len(texts))[::-1], rng.permutation(len(texts))[:7], np.array([5])):
+        assert (voters.scores(np.stack([Q.terms(texts[i]) for i in order])) == whole[order]).all()
+
+
+def test_rows_without_an_id_stay(spark):
+    import corpus_pipeline as C
+
+    text = "one two three four five six seven eight"
+    rows = [(None, text, "en", "src0", 1), (None, text, "en", "src0", 1), (None, None, "en", "src0", 0), (None, None, "en", "src0", 0), (4, text, "en", "src9", 1), (4, text, "de", "src1", 1), (9, text, "en", "src0", 1), (7, "", "en", "src0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(map(str, (tuple(r) for r in C.near_duplicates(spark, docs, "").collect())))
+    assert kept == sorted(map(str, [*rows[:4], (4, text, "de", "src1", 1), rows[7]]))
