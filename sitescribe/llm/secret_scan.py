@@ -21,6 +21,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, utf8
 
@@ -39,22 +40,37 @@ _TOKEN = regex.compile(rb"[A-Za-z0-9_\-+/=.]{16,}+")
 _ASSIGNED = regex.compile(rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[A-Za-z0-9_\-]{0,20}+[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
 _ADDRESS = regex.compile(rb"://[^\s/:@]{1,64}+:([^\s/@]{6,128}+)@")
 _KINDS = bytes(0 if chr(b).islower() and b < 128 else 1 if chr(b).isupper() and b < 128 else 2 if chr(b) in string.digits else 3 for b in range(256))
+_CONTINUED = bytes(range(0x80, 0xC0))
 FEATURES = 6 + 16 + 5
 
 
+def _apart(matches: Iterator, taken: list[tuple[int, int]], group: int) -> Iterator[tuple[int, int]]:
+    """Spans of matches that overlap none of ``taken``; both are in order, so one pass over each is enough."""
+    k = 0
+    for m in matches:
+        start, end = m.span(group)
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k == len(taken) or taken[k][0] >= end:
+            yield start, end
+
+
 def candidates(raw: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, pattern) of each candidate, left to right; an assignment's or address's value wins over a token."""
+    """(start, end, pattern) of each candidate, left to right; an address's value wins over an assignment's, and both over a token.
+
+    So no two overlap, and no two begin at one place.
+    """
     found = {m.span(1): "address" for m in _ADDRESS.finditer(raw)}
-    found |= {m.span(1): "assigned" for m in _ASSIGNED.finditer(raw) if not any(a < m.end(1) and m.start(1) < b for a, b in found)}
-    taken, k = sorted(found), 0
-    for m in _TOKEN.finditer(raw):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            found[m.span()] = "token"
+    found |= dict.fromkeys(list(_apart(_ASSIGNED.finditer(raw), sorted(found), 1)), "assigned")
+    found |= dict.fromkeys(list(_apart(_TOKEN.finditer(raw), sorted(found), 0)), "token")
     return [(a, b, found[a, b]) for a, b in sorted(found)]
 
 
+def code_points(raw: bytes) -> int:
+    """Of UTF-8: bytes that begin a character."""
+    return len(raw.translate(None, _CONTINUED))
+
+
 def features(value: bytes, before: bytes, after: bytes, path: str, dictionary: frozenset[bytes]) -> list[float]:
     n, kinds = len(value), value.translate(_KINDS)
     counts = Counter(value)
@@ -107,6 +123,14 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[bytes, bytes,
     return out
 
 
+def findings_of(table: DataFrame, most: int = 20_000) -> list[tuple[bytes, bytes, bytes, str, int]]:
+    """Labelled findings of ``table(value, before, after, path, is_secret)`` to train on: ``most`` at most, the first by a hash of the value."""
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("value", "before", "after", "path")]
+    rows = table.where("value is not null and is_secret is not null").select(*texts, F.col("is_secret").cast("int").alias("is_secret"))
+    chosen = rows.orderBy(F.xxhash64("value"), *rows.columns).limit(most).collect()
+    return [(utf8(r.value), utf8(r.before)[-NEIGHBOURHOOD:], utf8(r.after)[:NEIGHBOURHOOD], r.path, r.is_secret) for r in chosen]
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, n): how often each three small letters follow each other in one partition, as numbers to base 26."""
     counts = np.zeros(26**3, dtype=np.int64)
@@ -141,12 +165,11 @@ def _scan(shared, id_type: pa.DataType):
         for batch in batches:
             rows = []
             for doc_id, path, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_path", "text")), strict=True):
-                raw = utf8(text)
+                raw, at, counted = utf8(text), 0, 0
                 for start, end, pattern in candidates(raw):
                     value, before, after = raw[start:end], raw[max(0, start - NEIGHBOURHOOD) : start], raw[end : end + NEIGHBOURHOOD]
-                    at = len(raw[:start].decode("utf-8", "replace"))
-                    size = len(value.decode("utf-8", "replace"))
-                    rows.append((doc_id, at, size, pattern, hashlib.sha256(value).hexdigest(), features(value, before, after, path or "", dictionary)))
+                    at, counted = at + code_points(raw[counted:start]), start
+                    rows.append((doc_id, at, code_points(value), pattern, hashlib.sha256(value).hexdigest(), features(value, before, after, path or "", dictionary)))
             kinds = (id_type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             names = ["doc_id", "start", "length", "pattern", "sha256", "_features"]
@@ -159,7 +182,7 @@ def scanned(docs: DataFrame, model: RandomForestClassificationModel, dictionary:
     """(doc_id, start, length, pattern, sha256, probability, is_secret): one row for each candidate.
 
     ``start`` and ``length`` count code points; the candidate itself is given by its digest only.
-    Whole texts are searched; null and empty texts and texts without candidates give no row, so
+    Whole texts are searched, in time that grows with their length; null and empty texts and texts without candidates give no row, so
     does an empty table.  Repeated rows give repeated findings.  A null ``doc_id`` is kept.  Only
     ``doc_id``, ``text`` and the column named by ``path`` are read.
     """
@@ -167,8 +190,7 @@ def scanned(docs: DataFrame, model: RandomForestClassificationModel, dictionary:
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
     rows = docs.select("doc_id", F.col(path).cast("string").alias("_path"), "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    found = rows.mapInArrow(_scan(shared, arrow), f"doc_id {id_type}, start long, length long, pattern string, sha256 string, _features array<double>")
+    found = rows.mapInArrow(_scan(shared, to_arrow_type(rows.schema["doc_id"].dataType)), f"doc_id {id_type}, start long, length long, pattern string, sha256 string, _features array<double>")
     judged = model.transform(found.withColumn("features", array_to_vector("_features")))
     judged = judged.withColumn("probability", vector_to_array("probability")[1])
     return judged.select("doc_id", "start", "length", "pattern", "sha256", "probability", (F.col("probability") >= LEAST_PROBABILITY).alias("is_secret"))

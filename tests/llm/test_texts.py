@@ -245,3 +245,30 @@ def test_rows_without_an_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(map(str, (tuple(r) for r in C.near_duplicates(spark, docs, "").collect())))
     assert kept == sorted(map(str, [*rows[:4], (4, text, "de", "src1", 1), rows[7]]))
+
+
+def brute_candidates(raw):
+    found = [(m.span(1), "address") for m in S._ADDRESS.finditer(raw)]
+    for pattern, group, name in ((S._ASSIGNED, 1, "assigned"), (S._TOKEN, 0, "token")):
+        found += [(m.span(group), name) for m in pattern.finditer(raw) if not any(a < m.end(group) and m.start(group) < b for (a, b), _ in found)]
+    return [(a, b, name) for (a, b), name in sorted(found)]
+
+
+def test_candidates_equal_brute_force():
+    rng = random.Random(8)
+    parts = ["password=", "token: ", "http://u:", "secretsecret@h", "x" * 18, "é", " ", "\n", "abcdef", "@", "api_key='", "'", ";", "1234567", "://a:"]
+    for _ in range(300):
+        raw = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))).encode()
+        assert S.candidates(raw) == brute_candidates(raw)
+
+
+def test_scan_is_linear_and_counts_code_points(spark):
+    began = time.time()
+    raw = ("é password=abcdef12 http://u:secret99@h " * 40_000).encode()
+    found = S.candidates(raw)
+    assert len(found) >= 80_000 and time.time() - began < 20
+    assert S.code_points("aé\ud800\U0001f600".encode("utf-8", "surrogatepass")) == 4
+    docs = spark.createDataFrame([(1.5, "s", "é password=hunter22x é token: hunter33y")], "doc_id double, source string, text string")
+    dictionary = S.word_trigrams(docs)
+    forest = S.train_forest(spark, S.findings_of(spark.createDataFrame([(v.decode(), b.decode(), a.decode(), p, bool(y)) for v, b, a, p, y in S.labelled_findings(200)], "value string, before string, after string, path string, is_secret boolean")), dictionary)
+    assert sorted((r.doc_id, r.start, r.length) for r in S.scanned(docs, forest, dictionary).collect()) == [(1.5, 11, 9), (1.5, 30, 9)]
