@@ -155,3 +155,31 @@ def test_recall_on_table(spark):
     want = int(((x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])).sum() - len(made))
     got = sum(r.n_links for r in E.embedding_duplicates(frame).collect())
     assert 0.9 * want <= got <= want
+
+
+def test_thousands_of_pairs_near_the_threshold(spark):
+    """Pairs at cosines of 0.93 to 0.96 among vectors of a few labels, found to 0.99 and more by the whole operator."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(rng.standard_normal((2000, 32)))
+    away = rng.standard_normal((2000, 32))
+    away = unit(away - (away * one).sum(axis=1, keepdims=True) * one)
+    c = rng.uniform(0.931, 0.96, (2000, 1))
+    both = np.vstack([one, c * one + np.sqrt(1 - c * c) * away])
+    labels = np.tile(rng.integers(0, 4, 2000), 2)
+    rows = [(int(i), both[i].tolist(), int(labels[i])) for i in range(len(both))]
+    got = {r.vec_id: r for r in E.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    near = (both @ both.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    want, links = near.sum(axis=1), np.array([got[i].n_links for i in range(len(both))])
+    assert near.sum() >= 4000 and (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    root = smallest(len(both), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    assert sum(got[i].component_id == root[i] for i in range(len(both))) >= 0.99 * len(both)
+
+
+def test_several_vectors_of_one_id_and_rows_without_an_id(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(5, a, 1), (5, b, 1), (7, a, 1), (9, b, 1), (9, b, 1), (None, a, 1), (None, None, 1), (3, a, 2)]
+    got = E.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id) for r in got.collect() if r.vec_id) == [(3, 0, 3), (5, 1, 5), (7, 1, 5), (9, 1, 5)]
+    assert sorted((r.n_links, r.component_id, r.kept) for r in got.collect() if r.vec_id is None) == [(0, None, True), (0, None, True)]
