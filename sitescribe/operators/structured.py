@@ -13,6 +13,8 @@ from ..sources.scratch import written
 FLAT = ("@type", "name", "description", "applicationCategory", "operatingSystem", "softwareVersion", "url", "logo", "datePublished", "dateModified", "isAccessibleForFree", "priceCurrency", "contactType", "email", "availableLanguage")
 NAMED = ("author", "publisher", "provider")
 CONTACT = ("contactType", "email", "telephone", "availableLanguage")
+#: Levels of nesting that are gone down at once.
+STRIDE = 6
 #: JSON that counts as nothing.
 NOTHING = ("null", "false", "0", "0.0", "-0", "-0.0", '""', "[]", "{}")
 
@@ -72,15 +74,20 @@ def summaries(items: DataFrame, most: int = 5) -> DataFrame:
 
 
 def every_object(items: DataFrame) -> DataFrame:
-    """(page_id, depth, item): objects at any depth of ``items(page_id, item)``, level by level; each level is written."""
-    spark, level, levels = items.sparkSession, items.select("page_id", F.lit(0).alias("depth"), "item"), []
-    while True:
-        level = written(level, "objects")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels or [level]).where(is_object(F.col("item")))
-        levels.append(level)
-        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("item").outer()))
-        level = inside.select("page_id", (F.col("depth") + 1).alias("depth"), F.col("value").alias("item")).where(is_object(F.col("item")) | is_list(F.col("item")))
+    """(page_id, depth, item): objects at any depth of ``items(page_id, item)``; every ``STRIDE`` levels are written, the last of which leads on."""
+    spark = items.sparkSession
+    nested = is_object(F.col("item")) | is_list(F.col("item"))
+    inside = lambda level: level.lateralJoin(spark.tvf.variant_explode(F.col("item").outer())).select("page_id", F.col("depth") + 1, F.col("value")).toDF("page_id", "depth", "item").where(nested)
+    edge = written(items.select("page_id", F.lit(0).alias("depth"), "item"), "objects")
+    found, depth = [edge], 0
+    while not edge.isEmpty():
+        steps = [edge]
+        for _ in range(STRIDE):
+            steps.append(inside(steps[-1]))
+        depth += STRIDE
+        found.append(written(reduce(DataFrame.unionByName, steps[1:]), "objects"))
+        edge = found[-1].where(F.col("depth") == depth)
+    return reduce(DataFrame.unionByName, found).where(is_object(F.col("item")))
 
 
 def types_of(item: Column) -> Column:
