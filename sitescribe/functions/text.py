@@ -82,13 +82,13 @@ def markdown_cell(text: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    """One decimal, an em dash for null."""
-    return F.coalesce(F.format_string("%.1f", score), F.lit("—"))
+    """One decimal, halves to the even digit, an em dash for null."""
+    return F.when(score.isNull(), F.lit("—")).otherwise(F.format_string("%.1f", F.bround(score.cast("double"), 1)))
 
 
 def delta_text(delta: Column) -> Column:
     """One decimal with a sign, an em dash for null."""
-    return F.when(delta.isNull(), F.lit("—")).when(delta > 0, F.concat(F.lit("+"), F.format_string("%.1f", delta))).otherwise(F.format_string("%.1f", delta))
+    return F.when(delta > 0, F.concat(F.lit("+"), score_text(delta))).otherwise(score_text(delta))
 
 
 def elapsed_text(seconds: Column) -> Column:

@@ -8,8 +8,9 @@ from ..functions import nested as N
 from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import audit, compare, extract, jobs, recommend
+from ..operators import activity, audit, compare, extract, jobs, listing, recommend
 from ..operators import summaries as M
+from ..sources import sinks
 from ..sources.tables import read, runs
 from .page_queries import DOMAIN, ORACLES, QUERIES, query
 from .run_queries import RUNS
@@ -202,3 +203,77 @@ def llms_files(spark, sf_dir):
     k = F.col("site")
     text = F.when(F.col("place") == 0, F.when(k % 3 == 0, F.concat(F.lit("first "), k)).otherwise("<!DOCTYPE html>")).otherwise(F.when(k % 5 > 0, "second").otherwise("  "))
     return extract.llms_file(rows.select("site", F.lit("llms").alias("kind"), "place", text.alias("text"))).select("site", "preview")
+
+
+@query("""SELECT c_custkey AS id, CAST(c_custkey % 9 AS INTEGER) AS day FROM customer WHERE c_custkey % 9 < 5 OR c_custkey % 9 = 5 AND c_custkey < 400 ORDER BY c_custkey % 9 DESC, c_custkey DESC LIMIT 21""")
+def prospect_page(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 9).cast("int").alias("day"))
+    return listing.next_page(rows, "day", "id", (5, 400), 20)
+
+
+@query("""WITH f AS (SELECT * FROM (SELECT o_custkey AS series, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY o_custkey) ORDER BY n DESC, last, series LIMIT 500) SELECT series, n FROM f WHERE series % 2 = 0 ORDER BY n DESC, last, series LIMIT 30""")
+def most_visited(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("series")).agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"))
+    return listing.first_then_filtered(rows, [F.desc("n"), F.col("last"), F.col("series")], 500, F.col("series") % 2 == 0, 30).select("series", "n")
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM events GROUP BY ALL")
+def merged_usage(spark, sf_dir):
+    """Counters of half of the events, upserted into those of the other half."""
+    events = read(spark, sf_dir, "events")
+    counted = lambda odd: activity.daily_usage(events.where(F.col("event_id") % 2 == odd)).select("user_id", "day", "calls")
+    return activity.merged_usage(counted(0), counted(1))
+
+
+_TEXT = "CASE WHEN {0} IS NULL THEN '—' ELSE printf('%.1f', {0}) END"
+_SIGNED = "CASE WHEN {0} IS NULL THEN '—' WHEN {0} > 0 THEN '+' || printf('%.1f', {0}) ELSE printf('%.1f', {0}) END"
+_SERIES = "SELECT user_id AS series, event_id AS run_no, CASE WHEN event_id % 9 > 0 THEN CAST(event_id % 97 AS DOUBLE) + 0.25 END AS score, CASE WHEN event_id % 4 > 0 THEN CAST(event_id % 7 - 3 AS DOUBLE) END AS delta FROM events"
+
+
+def _history(spark, sf_dir):
+    k = F.col("event_id")
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("series"), k.alias("run_no"), F.when(k % 9 > 0, (k % 97).cast("double") + 0.25).alias("score"), F.when(k % 4 > 0, (k % 7 - 3).cast("double")).alias("delta")
+    )
+
+
+@query(f"""SELECT series, '| Run | Score | Change |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || run_no || ' | ' || {_TEXT.format("score")} || ' | ' || {_SIGNED.format("delta")} || ' |', chr(10) ORDER BY run_no) AS markdown FROM ({_SERIES}) GROUP BY series""")
+def run_reports(spark, sf_dir):
+    return sinks.report(_history(spark, sf_dir))
+
+
+@query(f"""SELECT series AS lens, string_agg('| f' || run_no || '\\| | ' || {_TEXT.format("score")} || ' | ' || {_TEXT.format("delta")} || ' | ' || {_SIGNED.format("delta")} || ' |', chr(10) ORDER BY 'f' || run_no) AS markdown FROM ({_SERIES}) GROUP BY series""")
+def factor_reports(spark, sf_dir):
+    rows = _history(spark, sf_dir).select(F.col("series").alias("lens"), F.concat(F.lit("f"), F.col("run_no"), F.lit("|")).alias("factor"), F.col("score").alias("before"), F.col("delta").alias("after"), "delta")
+    return sinks.diff_report(rows)
+
+
+@query("""SELECT string_agg('<loc>https://a.org/' || o_orderkey || '?a=1&amp;b</loc>' || strftime(o_orderdate, '%Y-%m-%d'), ' ' ORDER BY o_orderdate DESC, 'https://a.org/' || o_orderkey || '?a=1&b') AS entries FROM (
+  SELECT * FROM orders ORDER BY o_orderdate DESC, 'https://a.org/' || o_orderkey || '?a=1&b' LIMIT 500)""")
+def sitemap_files(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.concat(F.lit("https://a.org/"), F.col("o_orderkey"), F.lit("?a=1&b")).alias("loc"), F.col("o_orderdate").alias("lastmod"))
+    found = F.regexp_extract_all("xml", F.lit(r"(?s)(<loc>[^<]*</loc>)\s*<lastmod>[^<]*</lastmod>"), 1)
+    days = F.regexp_extract_all("xml", F.lit("<lastmod>([^<]*)</lastmod>"), 1)
+    return sinks.sitemap(rows).select(F.array_join(F.zip_with(found, days, lambda a, b: F.concat(a, b)), " ").alias("entries"))
+
+
+@query(f"""WITH p AS (SELECT {DOMAIN} AS site, page_id % 4 AS url, page_id FROM pages) SELECT site, url, min(page_id) AS page_id FROM p GROUP BY ALL""")
+def first_of_pages(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(U.domain_of(F.col("url")).alias("site"), (F.col("page_id") % 4).alias("url"), "page_id")
+    return audit.first_of_page(rows)
+
+
+@query(f"""SELECT page_id FROM (SELECT page_id, {DOMAIN} AS host FROM pages) WHERE page_id % 5 = 0 OR page_id % 5 = 1 AND host <> 'other.org'""")
+def canonical_mismatches(spark, sf_dir):
+    """Canonical addresses: another path of the page's host, another host, the page itself in other spelling, none."""
+    k, path = F.col("page_id") % 5, F.regexp_replace(U.path_of(F.col("url")), "/+$", "")
+    canonical = F.when(k == 0, F.concat(path, F.lit("/other"))).when(k == 1, F.concat(F.lit("https://other.org"), path)).when(k == 2, F.concat(path, F.lit("/?x=1"))).when(k == 3, F.concat(F.lit("http://www."), U.domain_of(F.col("url")), path))
+    return audit.canonical_mismatches(read(spark, sf_dir, "pages").select("page_id", "url", F.when(path != "", canonical).otherwise(F.when(k <= 1, F.lit("https://other.org/x"))).alias("canonical"))).select("page_id")
+
+
+@query("""SELECT p_partkey AS part, 'https://s.org/' || CASE p_partkey % 5 WHEN 0 THEN 'a/b/x' || p_partkey WHEN 1 THEN 'x' || p_partkey WHEN 2 THEN 'a/x' || p_partkey WHEN 3 THEN 'y' || p_partkey ELSE 'a/b' END AS url FROM part""")
+def absolute_links(spark, sf_dir):
+    k = F.col("p_partkey")
+    forms = [F.concat(F.lit("x"), k, F.lit("?q=1")), F.concat(F.lit("/x"), k, F.lit("/")), F.concat(F.lit("../x"), k, F.lit("#f")), F.concat(F.lit("HTTPS://S.ORG/y"), k), F.lit("./")]
+    rows = read(spark, sf_dir, "part").select(k.alias("part"), F.lit("https://s.org/a/b/c").alias("base"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")).alias("href"))
+    return rows.select("part", extract.absolute("href", "base").alias("url"))
