@@ -242,7 +242,7 @@ def run_reports(spark, sf_dir):
     return sinks.report(_history(spark, sf_dir))
 
 
-@query(f"""SELECT series AS lens, string_agg('| f' || run_no || '\\| | ' || {_TEXT.format("score")} || ' | ' || {_TEXT.format("delta")} || ' | ' || {_SIGNED.format("delta")} || ' |', chr(10) ORDER BY 'f' || run_no) AS markdown FROM ({_SERIES}) GROUP BY series""")
+@query(f"""SELECT series AS lens, string_agg('| f' || run_no || '\\| | ' || {_TEXT.format("score")} || ' | ' || {_TEXT.format("delta")} || ' | ' || {_SIGNED.format("delta")} || ' |', chr(10) ORDER BY 'f' || run_no || '|') AS markdown FROM ({_SERIES}) GROUP BY series""")
 def factor_reports(spark, sf_dir):
     rows = _history(spark, sf_dir).select(F.col("series").alias("lens"), F.concat(F.lit("f"), F.col("run_no"), F.lit("|")).alias("factor"), F.col("score").alias("before"), F.col("delta").alias("after"), "delta")
     return sinks.diff_report(rows)

@@ -79,7 +79,7 @@ def test_emails(spark):
 def test_texts(spark):
     assert values(spark, ["One. Two", "  Only one  ", "a\nb. c", "x" * 50, None, ""], lambda x: X.first_sentence(x, 10)) == ["One", "Only one", "a\nb", "x" * 9 + "…", "", ""]
     assert values(spark, ["a  b\n c", "", None, " x "], X.words) == [3, 0, 0, 1]
-    assert values(spark, [1.25, -3.0, 0.0, None], X.delta_text) == ["+1.3", "-3.0", "0.0", "—"]
+    assert values(spark, [1.25, -3.0, 0.0, None], X.delta_text) == ["+1.2", "-3.0", "0.0", "—"]
     assert values(spark, ["max_pages_reached", "max_pages", "", None], X.friendly_reason) == ["Max pages reached", "Max Pages", "N/A", "N/A"]
     assert values(spark, ["crawl blocked: 403", "cancelled_by_user", "boom", None], X.public_error_label)[2:] == ["Analysis failed", ""]
     assert values(spark, [5.0, 65.0], X.elapsed_text) == ["5s", "1m 5s"]
