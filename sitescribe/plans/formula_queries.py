@@ -277,3 +277,36 @@ def absolute_links(spark, sf_dir):
     forms = [F.concat(F.lit("x"), k, F.lit("?q=1")), F.concat(F.lit("/x"), k, F.lit("/")), F.concat(F.lit("../x"), k, F.lit("#f")), F.concat(F.lit("HTTPS://S.ORG/y"), k), F.lit("./")]
     rows = read(spark, sf_dir, "part").select(k.alias("part"), F.lit("https://s.org/a/b/c").alias("base"), F.element_at(F.array(*forms), (k % 5 + 1).cast("int")).alias("href"))
     return rows.select("part", extract.absolute("href", "base").alias("url"))
+
+
+@query("""SELECT p_partkey AS part, CASE p_partkey % 6 WHEN 4 THEN '' ELSE 'user' || p_partkey || '@acme' || p_size || CASE p_partkey % 6 WHEN 1 THEN '.co' WHEN 5 THEN '.net' ELSE '.org' END END AS emails FROM part""")
+def deobfuscated_emails(spark, sf_dir):
+    """Addresses spelled out in brackets, in words, with blanks, plainly, not at all, and without blanks."""
+    k = F.col("p_partkey")
+    forms = ["mail user# [at] acme~ (dot) org now", "user# at acme~ dot co dot uk", "user#@acme~ . org . We write", "contact us at user#@acme~.org. Thanks", "user# @ company~", "it is user#{AT}acme~[ dot ]net, dot by dot"]
+    text = F.replace(F.replace(F.element_at(F.array(*map(F.lit, forms)), (k % 6 + 1).cast("int")), F.lit("#"), k.cast("string")), F.lit("~"), F.col("p_size").cast("string"))
+    return read(spark, sf_dir, "part").select(k.alias("part"), F.array_join(X.emails(extract.deobfuscated(text)), ",").alias("emails"))
+
+
+@query("""SELECT p_partkey AS page_id, unnest(CASE p_partkey % 3 WHEN 0 THEN ['info' || p_partkey || '@aa.org'] WHEN 1 THEN ['xx' || p_partkey || '@bb.org', 'y+z@cc.org'] ELSE ['text' || p_partkey || '@dd.org', 'hid' || p_partkey || '@ee.org'] END) AS email,
+  unnest(CASE p_partkey % 3 WHEN 0 THEN ['mailto,text'] WHEN 1 THEN ['mailto', 'mailto'] ELSE ['text', 'obfuscated'] END) AS found_as FROM part""")
+def made_page_emails(spark, sf_dir):
+    """Addresses on made pages, and the ways in which each was found."""
+    k = F.col("p_partkey")
+    forms = [
+        '<p>write <a href="mailto:Info#@aa.org?subject=hi">to us</a> or info#@aa.org</p><script>no#@nono.org</script>', '<a href="mailto:xx#%40bb.org;y+z@cc.org">m</a><a href="MAILTO:">n</a>',
+        "<div>text#@dd.org<br>hid# [at] ee [dot] org</div>",
+    ]
+    html = F.replace(F.element_at(F.array(*map(F.lit, forms)), (k % 3 + 1).cast("int")), F.lit("#"), k.cast("string"))
+    pages = extract.with_features(read(spark, sf_dir, "part").select(k.alias("page_id"), F.lit("https://s.org").alias("url"), html.alias("html")))
+    return extract.found_emails(pages).withColumn("found_as", F.array_join("found_as", ","))
+
+
+@query("""SELECT p_partkey AS page_id, 'Title ' || p_partkey AS title, 'https://s.org/' || p_partkey AS canonical, 2 AS n_headings, 1 AS images_total, 1 AS images_with_alt, '# Head' || chr(10) || chr(10) || 'One **bold** [link](/x' || p_partkey || ') end.' || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || p_partkey || ' |' AS markdown FROM part""")
+def made_page_features(spark, sf_dir):
+    """Features and Markdown of made pages with noise in tags, roles, classes and ids."""
+    page = """<html><head><title>Title #</title><link rel="canonical" href="https://s.org/#"></head><body><nav>menu</nav><div role="banner">top</div><h1>Head</h1><p>One <b>bold</b> <a href="/x#">link</a> end.</p>
+      <ul><li>a<li>b</ul><div class="cookie-bar">c<h2>in noise</h2></div><div id="top-ads">d</div><table><tr><th>k<th>v<tr><td>1<td>#</table><img src="i" alt="x"><p class="no-md">e</p><footer>f</footer></body></html>"""
+    k = F.col("p_partkey")
+    pages = extract.with_features(read(spark, sf_dir, "part").select(k.alias("page_id"), F.lit("https://s.org").alias("url"), F.replace(F.lit(page), F.lit("#"), k.cast("string")).alias("html")))
+    return pages.select("page_id", "f.title", "f.canonical", F.size("f.headings").alias("n_headings"), "f.images_total", "f.images_with_alt", "f.markdown")

@@ -83,10 +83,20 @@ def grounded_citations(spark, sf_dir):
     return recommend.grounded(answers, pages.drop("page_id")).select("question", "url")
 
 
-@query()
+# One step takes the next text of every conversation.
+@query("""WITH RECURSIVE t AS (SELECT conv_id AS site, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)) AS text FROM conversations
+), steps AS (
+  SELECT site, CAST(0 AS BIGINT) AS i, 600 AS room, false AS done, 0 AS n_texts, CAST(0 AS BIGINT) AS n_chars FROM t WHERE i = 1
+  UNION ALL
+  SELECT site, i, CASE WHEN NOT done AND fits THEN room - need ELSE room END, done OR NOT fits, n_texts + CASE WHEN NOT done AND (fits OR room > 50) THEN 1 ELSE 0 END,
+    n_chars + CASE WHEN done THEN 0 WHEN fits THEN length(text) WHEN room > 50 THEN kept ELSE 0 END
+  FROM (SELECT s.site, t.i, room, done, n_texts, n_chars, text, CAST(ceil(length(text) / 4.0) AS INTEGER) AS need, need <= room AS fits, substr(text, 1, room * 4) AS c, length(c) - strpos(reverse(c), chr(10) || chr(10)) - 1 AS before,
+    CASE WHEN contains(c, chr(10) || chr(10)) AND before > length(c) / 2.0 THEN before ELSE length(c) END AS kept FROM steps s JOIN t ON t.site = s.site AND t.i = s.i + 1)
+) SELECT site, max_by(n_texts, i) AS n_texts, CAST(max_by(n_chars, i) AS INTEGER) AS n_chars FROM steps GROUP BY site""")
 def token_budget_texts(spark, sf_dir):
-    """What of each conversation fits into a budget, the last text cut."""
-    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("site"), F.col("turn").alias("place"), "text")
+    """What of each conversation, a sentence a paragraph, fits into a budget, the last text cut."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n"))
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("site"), F.col("turn").alias("place"), text.alias("text"))
     return jobs.budgeted(turns, 600, 50).select("site", F.size("admitted").alias("n_texts"), F.length(F.array_join("admitted", "")).alias("n_chars"))
 
 
