@@ -8,6 +8,7 @@ from ..functions import html as H
 from ..functions import scoring as S
 from ..functions import urls as U
 from ..operators import extract, site_scores
+from ..sources.scratch import written
 from ..sources.tables import read
 from .page_queries import BAND_OF, DOMAIN, METRICS, ORACLES, QUERIES, STRIPPED, page_metrics, query
 from .rule_queries import FIX_ROWS
@@ -45,7 +46,8 @@ def _inputs(spark, sf_dir):
     q = F.col("m") + F.col("q")
     asked = sites.select("site", "m", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("q"))
     asked = asked.select("m", F.col("site").alias("run"), F.concat(F.lit("q"), F.col("q")).alias("question"), F.element_at(F.array(*map(F.lit, VERDICTS)), (q % 5).cast("int") + 1).alias("verdict"), F.array_repeat(F.lit("/"), (q % 3).cast("int")).alias("sources"))
-    return site_scores.site_signals(metrics, items, files, AS_OF), asked.where("m % 6 > 0").drop("m"), asked.where("m % 6 = 0").drop("m")
+    signals = written(site_scores.site_signals(metrics, items, files, AS_OF), "signals")  # a row a site, read for factors and for fixes
+    return signals, asked.where("m % 6 > 0").drop("m"), asked.where("m % 6 = 0").drop("m")
 
 
 def _factors(spark, sf_dir):
