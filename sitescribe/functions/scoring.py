@@ -26,9 +26,15 @@ def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double scaled, rounded to a whole number with halves away from zero, and scaled back, as SQL's ``round`` does;
+    Spark's rounds the decimals that the number is written with, so -26.049999999999997 differs."""
+    return F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def calibrated(mean: Column) -> Column:
     """The power curve of composites, capped and rounded; null stays null."""
-    return F.when(mean.isNotNull(), F.round(F.least(100 * F.pow(mean / 100, F.lit(EXPONENT)), F.lit(100.0)), 1))
+    return F.when(mean.isNotNull(), rounded(F.least(100 * F.pow(mean / 100, F.lit(EXPONENT)), F.lit(100.0)), 1))
 
 
 def rating(lens: str, score: Column) -> Column:

@@ -30,7 +30,7 @@ def factor_diff(weights: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame
     keys = ["lens", "factor"]
     a, b = old.select(*keys, F.col("score").alias("before")), new.select(*keys, F.col("score").alias("after"))
     out = weights.join(a, keys, "left").join(b, keys, "left").where("before is not null or after is not null")
-    return out.withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    return out.withColumn("delta", S.rounded(F.col("after") - F.col("before"), 1))
 
 
 def counterfactual(factors: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def counterfactual(factors: DataFrame, fixes: DataFrame) -> DataFrame:
     sums = each.groupBy("run", "fix").agg(*(F.sum(c).alias(n) for n, c in (("a", F.col("run_s")), ("b", F.col("run_w")), ("c", fixed_s), ("d", fixed_w))))
     composite = lambda s, w: S.calibrated(F.when(F.col(w) > 0, F.col(s) / F.col(w)))
     out = sums.select("run", "fix", composite("a", "b").alias("before"), composite("c", "d").alias("after"))
-    return out.withColumn("delta", F.round(F.col("after") - F.col("before"), 1))
+    return out.withColumn("delta", S.rounded(F.col("after") - F.col("before"), 1))
 
 
 def ranked_fixes(fixes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import rounded
+
 
 def newest_first():
     return Window.partitionBy("series").orderBy(F.desc("created_at"), F.desc("run_id"))
@@ -43,19 +45,19 @@ def with_previous(runs: DataFrame) -> DataFrame:
     before = Window.partitionBy("series").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
     previous = F.max(F.struct("created_at", "run_id", "score")).over(before)
     out = runs.where("status = 'succeeded'").withColumn("_p", previous)
-    return out.withColumn("previous_id", F.col("_p.run_id")).withColumn("delta", F.round(F.col("score") - F.col("_p.score"), 1) + 0.0).drop("_p")
+    return out.withColumn("previous_id", F.col("_p.run_id")).withColumn("delta", rounded(F.col("score") - F.col("_p.score"), 1) + 0.0).drop("_p")
 
 
 def history(runs: DataFrame) -> DataFrame:
     """Succeeded runs numbered from 1 and their change since the run before."""
     done = runs.where("status = 'succeeded'")
-    return done.withColumn("run_no", F.row_number().over(oldest_first())).withColumn("delta", F.round(F.col("score") - F.lag("score").over(oldest_first()), 1) + 0.0)  # no negative zero
+    return done.withColumn("run_no", F.row_number().over(oldest_first())).withColumn("delta", rounded(F.col("score") - F.lag("score").over(oldest_first()), 1) + 0.0)  # no negative zero
 
 
 def latest_against_second(runs: DataFrame) -> DataFrame:
     """The latest run of any status, less the second newest succeeded one."""
     second = newest(runs, 2).where("place = 2").select("series", F.col("score").alias("second_score"))
-    return latest(runs).join(second, "series", "left").select("series", "run_id", "status", F.round(F.col("score") - F.col("second_score"), 1).alias("delta"))
+    return latest(runs).join(second, "series", "left").select("series", "run_id", "status", rounded(F.col("score") - F.col("second_score"), 1).alias("delta"))
 
 
 def cards(runs: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def cards(runs: DataFrame) -> DataFrame:
     out = runs.groupBy("series").agg(
         F.count("*").alias("n_runs"), F.count_if(F.col("status") == "succeeded").alias("n_succeeded"), newest_run.alias("_l"), F.max("created_at").alias("last_run")
     )
-    return out.select("series", "n_runs", "n_succeeded", "last_run", F.col("_l.run_id").alias("latest_id"), F.col("_l.status").alias("latest_status"), F.round("_l.score", 2).alias("latest_score"))
+    return out.select("series", "n_runs", "n_succeeded", "last_run", F.col("_l.run_id").alias("latest_id"), F.col("_l.status").alias("latest_status"), rounded(F.col("_l.score"), 2).alias("latest_score"))
 
 
 def dashboard(runs: DataFrame) -> DataFrame:

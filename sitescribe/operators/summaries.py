@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.scoring import rounded
 from .projections import priority_rank
 
 
@@ -40,7 +41,7 @@ def structural_counts(payloads: DataFrame) -> DataFrame:
 def lens_deltas(runs: DataFrame, lenses: tuple[str, ...] = ("aeo", "geo", "aax")) -> DataFrame:
     """``runs(series, run_id, created_at, <lenses>)`` with a delta a lens against the run before; none where no lens has one."""
     order = Window.partitionBy("series").orderBy("created_at", "run_id")
-    deltas = [F.round(F.col(x) - F.lag(x).over(order), 1).alias(x) for x in lenses]
+    deltas = [rounded(F.col(x) - F.lag(x).over(order), 1).alias(x) for x in lenses]
     out = runs.withColumn("since_last", F.struct(*deltas))
     known = reduce(Column.__or__, [F.col(f"since_last.{x}").isNotNull() for x in lenses])
     return out.withColumn("since_last", F.when(known, F.col("since_last")))
