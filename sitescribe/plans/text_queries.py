@@ -135,7 +135,7 @@ def flagged_docs(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, text FROM (SELECT *, sum(CAST(length(text) / 4 AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn, text) AS used FROM conversations) WHERE used <= 200""")
 def token_budget(spark, sf_dir):
-    """Turns that fit whole into a budget of about four characters a token, in order."""
+    """Turns that fit whole into a budget of about four characters a token, in order; halves of a token go to the even number."""
     window = Window.partitionBy("conv_id").orderBy("turn", "text")
-    used = F.sum(F.round(F.length("text") / 4).cast("long")).over(window)
+    used = F.sum(F.rint(F.length("text") / 4).cast("long")).over(window)
     return read(spark, sf_dir, "conversations").withColumn("_used", used).where("_used <= 200").select("conv_id", "turn", "text")

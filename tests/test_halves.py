@@ -27,3 +27,11 @@ def test_deltas_near_a_half(spark, tmp_path):
     got, want = both(spark, tmp_path, "run_history_report", "orders", rows, schema)
     assert len({r[3] for r in want}) > 1
     assert got == want
+
+
+def test_half_tokens(spark, tmp_path):
+    """Ten characters are two tokens and fourteen are four, so a hundred and fifty fit."""
+    rows = [(conv, turn, "user", "x" * length) for conv, length in enumerate((10, 14, 12)) for turn in range(120)]
+    got, want = both(spark, tmp_path, "token_budget", "conversations", rows, "conv_id long, turn long, role string, text string")
+    assert [sum(r[0] == conv for r in want) for conv in range(3)] == [100, 50, 66]
+    assert got == want
