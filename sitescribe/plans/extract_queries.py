@@ -89,10 +89,10 @@ def stream_event_state(spark, sf_dir) -> DataFrame:
     return out.groupBy("user_id").agg(last).select("user_id", "s.n_events", "s.distinct_items", "s.segment")
 
 
-def _processed(spark, sf_dir, key, kind, processor) -> DataFrame:
+def _processed(spark, sf_dir, key, kind, processor, group=None) -> DataFrame:
     """The events' stream through a state processor; what the watermark has not passed when the files end stays in the state."""
     folder = _folder(spark)
-    events = twins.read_stream(spark, sf_dir).select(key.alias("key"), "ts", "event_id", kind.alias("kind")).where("kind is not null")
+    events = twins.read_stream(spark, sf_dir).select((key if group is None else group).alias("group"), key.alias("key"), "ts", "event_id", kind.alias("kind")).where("kind is not null")
     twins.run_once(processors.processed(events, processor, "1 hour"), f"{folder}/out", "append", f"{folder}/checkpoint")
     return spark.read.schema(processors.ROW).parquet(f"{folder}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
@@ -126,4 +126,4 @@ def stream_stages(spark, sf_dir):
   HAVING max(ends) < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_sessions(spark, sf_dir):
     key = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
-    return _processed(spark, sf_dir, key, F.lit("use"), processors.Sessions(21600, 50000)).select("key", F.col("at").alias("ends"), F.col("n").alias("uses"))
+    return _processed(spark, sf_dir, key, F.lit("use"), processors.Sessions(21600, 50000), F.col("user_id")).select("key", F.col("at").alias("ends"), F.col("n").alias("uses"))

@@ -1,19 +1,24 @@
 """Event folds as state processors: events wait until the watermark has passed them, then they count in order, once.
 
 So late and repeated events give what the batch twins in ``operators`` give, and what was said once is
-never taken back.  A key holds its waiting events, one timer, and a fold's few numbers.
+never taken back.  Keys that come in groups, such as a user's sessions, share what a group holds: its waiting
+events, one timer, and each key's fold of a few numbers.  A group that is called costs the same few calls of the state store
+whatever its number of keys, and one or two more for each key whose fold changes.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-WAITING = "at long, event_id long, kind string"
+#: Rows of a group as JSON, as one value of the state costs about as much as one row.
+PACKED = "rows string"
 ROW = "key string, event string, at timestamp, n long"
 
 
@@ -23,14 +28,19 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """Deals a key's events to ``step`` in order of time and id; ``step(fold, at, kind)`` gives the next fold and rows (event, at, n)."""
+    """Deals a key's events to ``step`` in order of time and id; ``step(fold, at, kind)`` gives the next fold and rows (event, at, n).
+
+    Folds that wait for time stay in one value, which is read whenever the group's timer is due; the others are looked up
+    by their key, when it has events.
+    """
 
     FOLD, START = "a long, b long, c long", (0, 0, 0)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.fold = handle.getValueState("fold", self.FOLD)
+        self.waiting = handle.getListState("waiting", PACKED)
+        self.open = handle.getValueState("open", PACKED)
+        self.folds = handle.getMapState("folds", "key string", self.FOLD)
         self.due = handle.getValueState("due", "at long")
 
     def step(self, fold: tuple, at: int, kind: str) -> tuple[tuple, list[tuple]]:
@@ -55,32 +65,42 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [(int(at), int(i), kind) for frame in rows for at, i, kind in zip(frame["us"], frame["event_id"], frame["kind"], strict=True) if at >= mark]
+        columns = ("key", "us", "event_id", "kind")
+        new = [(k, int(at), int(i), kind) for frame in rows for k, at, i, kind in zip(*(frame[c] for c in columns), strict=True) if at >= mark]
         if new:
-            self.waiting.appendList(new)
-            self._wait([at for at, _, _ in new])
+            self.waiting.appendValue((json.dumps(new),))
+            self._wait([at for _, at, _, _ in new])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, seen = sorted({w for w in map(tuple, waiting) if w[0] < mark}), set()
-        rest = [w for w in map(tuple, waiting) if w[0] >= mark]
-        fold, out = tuple(self.fold.get()) if self.fold.exists() else self.START, []
-        for at, event_id, kind in ready:
-            if event_id not in seen:
-                seen.add(event_id)
-                fold, rows = self.step(fold, at, kind)
-                out += rows
-        fold, rows = self.passed(fold, mark)
-        out += rows
-        self.fold.update(fold)
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        waiting = [tuple(w) for packed in self.waiting.get() for w in json.loads(packed[0])] if self.waiting.exists() else []
+        ready, rest = sorted({w for w in waiting if w[1] < mark}), [w for w in waiting if w[1] >= mark]
+        opened = {k: tuple(fold) for k, fold in json.loads(self.open.get()[0])} if self.open.exists() else {}
+        events, stored, out = {k: list(of) for k, of in groupby(ready, lambda w: w[0])}, self.folds.exists(), []
+        still = {}
+        for k in opened.keys() | events.keys():
+            before = opened.get(k)
+            if before is None and stored and (found := self.folds.getValue((k,))) is not None:
+                before = tuple(found)
+            fold, seen = before or self.START, set()
+            for _, at, event_id, kind in events.get(k, ()):
+                if event_id not in seen:
+                    seen.add(event_id)
+                    fold, rows = self.step(fold, at, kind)
+                    out += [(k, *row) for row in rows]
+            fold, rows = self.passed(fold, mark)
+            out += [(k, *row) for row in rows]
+            if self.next_due(fold) is not None:
+                still[k] = fold
+            elif fold != before or k in opened:
+                self.folds.updateValue((k,), fold)
+        self.open.update((json.dumps(list(still.items())),)) if still else self.open.clear()
+        self.waiting.put([(json.dumps(rest),)]) if rest else self.waiting.clear()
         self.due.clear()
-        due = self.next_due(fold)
-        self._wait([at for at, _, _ in rest] + ([due] if due is not None else []))
+        self._wait([at for _, at, _, _ in rest] + [self.next_due(fold) for fold in still.values()])
         texts = lambda values: pd.Series(values, dtype=object)
-        found = {"key": texts([str(key[0])] * len(out)), "event": texts([x[0] for x in out]), "at": pd.to_datetime([x[1] for x in out], unit="us"), "n": pd.Series([x[2] for x in out], dtype="int64")}
+        found = {"key": texts([x[0] for x in out]), "event": texts([x[1] for x in out]), "at": pd.to_datetime([x[2] for x in out], unit="us"), "n": pd.Series([x[3] for x in out], dtype="int64")}
         return iter((pd.DataFrame(found),) if out else ())
 
     def close(self) -> None:
@@ -135,7 +155,12 @@ class Sessions(InOrder):
 
 
 def processed(events: DataFrame, processor: StatefulProcessor, lateness: str) -> DataFrame:
-    """(key, event, at, n) of a stream of ``events(key, ts, event_id, kind)``; events later than ``lateness`` are let go, as in any watermark."""
+    """(key, event, at, n) of a stream of ``events(key, ts, event_id, kind)``; events later than ``lateness`` are let go, as in any watermark.
+
+    A column ``group`` names a group of keys, such as the user whose days the keys are, to share calls of the state store; without it
+    each key is its own.  Events of one key must be of one group.
+    """
     use_rocksdb(events.sparkSession)
-    rows = events.withWatermark("ts", lateness).select(F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("kind").cast("string").alias("kind"))
-    return rows.groupBy("key").transformWithStateInPandas(processor, ROW, "append", "EventTime")
+    group = F.col("group" if "group" in events.columns else "key").cast("string").alias("group")
+    rows = events.withWatermark("ts", lateness).select(group, F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("kind").cast("string").alias("kind"))
+    return rows.groupBy("group").transformWithStateInPandas(processor, ROW, "append", "EventTime")
