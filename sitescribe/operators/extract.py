@@ -7,6 +7,7 @@ One Arrow UDF reads each page once and returns a struct; what can be told from t
 from __future__ import annotations
 
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -87,6 +88,31 @@ def with_features(pages: DataFrame) -> DataFrame:
     return out.withColumn("f", F.col("f").withField("markdown", X.markdown_spacing(F.col("f.markdown"))))
 
 
+class _Hrefs(HTMLParser):
+    """Addresses of a page's links in order, as ``page_features`` finds them, without a tree."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a":
+            self.found.append(next((value or "" for name, value in attrs if name == "href"), ""))
+
+
+def page_hrefs(html: str | None) -> list[str]:
+    parser = _Hrefs()
+    parser.feed(html or "")
+    parser.close()
+    return parser.found
+
+
+def with_hrefs(pages: DataFrame) -> DataFrame:
+    """``pages(html)`` and a struct ``f`` of ``links.href`` only, where nothing else of a page is asked for."""
+    found = F.pandas_udf(lambda pages: pages.map(lambda html: [{"href": h} for h in page_hrefs(html)]), "array<struct<href:string>>")
+    return pages.withColumn("f", F.struct(found("html").alias("links")))
+
+
 def content_metrics(features: Column) -> Column:
     """Words, paragraphs, lists, tables, code blocks and images of a page; without paragraphs its blocks of text count."""
     blocks = F.filter(F.split(features["markdown"], r"\n\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^(#|\||```)"))
@@ -114,7 +140,7 @@ def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
 
 def absolute(href: str, base: str) -> Column:
     """Joined by RFC 3986, scheme and host in lower case, without query, fragment and one last slash."""
-    return F.pandas_udf(_joined, "string")(href, base)
+    return F.pandas_udf(_joined, "string").asNondeterministic()(href, base)  # else filters on it run it again
 
 
 def classified_links(pages: DataFrame, ignored: list[str]) -> DataFrame:
@@ -129,9 +155,10 @@ def classified_links(pages: DataFrame, ignored: list[str]) -> DataFrame:
     each = each.where(~skip & (F.trim(F.col("href")) != "")).withColumn("to", absolute("href", "url"))
     same = U.domain_of(F.col("to")) == U.domain_of(F.col("url"))
     path = U.canonical_path(F.col("to"))
-    inside = each.where(same & (path != "/") & ~U.ignored_path(path)).select("page_id", F.lit("int").alias("kind"), path.alias("target"))
-    outside = each.where(~same & ~U.ignored_domain(U.domain_of(F.col("to")), ignored) & F.col("to").startswith("http"))
-    return inside.unionByName(outside.select("page_id", F.lit("ext").alias("kind"), F.col("to").alias("target"))).distinct()
+    inside = same & (path != "/") & ~U.ignored_path(path)
+    outside = ~same & ~U.ignored_domain(U.domain_of(F.col("to")), ignored) & F.col("to").startswith("http")
+    kind = F.when(inside, "int").when(outside, "ext")  # one pass for both, as a union would parse the pages twice
+    return each.select("page_id", kind.alias("kind"), F.when(inside, path).otherwise(F.col("to")).alias("target")).where("kind is not null").distinct()
 
 
 # How the signs of an address are spelled, in brackets or as words.

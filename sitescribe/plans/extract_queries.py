@@ -36,7 +36,7 @@ def page_markdown(spark, sf_dir):
 
 @query()
 def page_links(spark, sf_dir):
-    return extract.classified_links(featured(spark, sf_dir), ["github.com"])
+    return extract.classified_links(extract.with_hrefs(read(spark, sf_dir, "pages")), ["github.com"])
 
 
 @query()
